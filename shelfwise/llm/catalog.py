@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import decontaminate, licenses, mixing, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_mixing": mixing.op2_mixing,
+        "op4_quality": quality.op4_quality,
+        "op7_licenses": licenses.op7_licenses,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op7_licenses": licenses.OP7_SQL}
