@@ -51,7 +51,7 @@ SPELLINGS = (
     ("merchantibility", "merchantability"),
     ("per cent", "percent"),
 )
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*$"
+_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
@@ -98,7 +98,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*$', ' ', 'g')"
+    out = rf"regexp_replace(lower({text}), '(?m)^[^a-z0-9\n]*(copyright[^\n]*(\(c\)|©|[0-9]{{4}})|\(c\)|©)[^\n]*$', ' ', 'g')"
     out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
     for old, new in SPELLINGS:
         out = f"replace({out}, ' {old} ', ' {new} ')"
