@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, secrets, sharding
+from . import decontaminate, licenses, minhash, mixing, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op2_mixing": mixing.op2_mixing,
+        "op3_minhash": minhash.op3_minhash,
         "op4_quality": quality.op4_quality,
         "op7_licenses": licenses.op7_licenses,
         "op8_decontamination": decontaminate.op8_decontamination,
