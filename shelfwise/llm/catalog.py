@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, minhash, mixing, quality, secrets, sharding
+from . import decontaminate, licenses, lm, minhash, mixing, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_licenses": licenses.op7_licenses,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_sharding": sharding.op9_sharding,
+        "op10_lm": lm.op10_lm,
     }
 
 

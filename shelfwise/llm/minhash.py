@@ -6,10 +6,11 @@ functions are found; each band of minima is a bucket key, and of each minimum th
 in which their signatures agree give, corrected for chance agreement, an estimate of their similarity, and pairs that
 may reach the threshold are confirmed on the full sets. Linked classes are joined to components.
 
-A bucket never makes all its pairs: its members stand in order, and each is paired with the bucket's first member and the
-`NEAR` before it. Small buckets are complete so. In larger ones, pairs are needed only between components: while a bucket
-holds several, its members are compared, in blocks of signatures, with all members of other components, and only pairs
-whose estimate may reach the threshold leave the comparison. That is exact for the buckets, whatever their size.
+A bucket never makes all its pairs. First each class is paired with the one class that comes first in most of its buckets;
+from there on pairs are needed only between components. In buckets that hold several, members stand in order and each is
+paired with the first and with the `NEAR` before it, if of another component: small buckets are complete so. In larger
+ones that still hold several components, members are compared, in blocks of signatures, with all members of other
+components, and only pairs whose estimate may reach the threshold leave the comparison. That is exact for any bucket.
 
 Probability of a common bucket: 1 - (1 - s**5)**32, which is 0.9998 for s = 0.75 and 0.999997 for s = 0.8.
 
@@ -121,22 +122,40 @@ def _confirm(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """a < b: each member of a bucket with the bucket's first and with those just before it. members: key, cls."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """key, cls, first (the least class of the bucket) and n (its classes) of all buckets of two classes or more."""
+    whole = Window.partitionBy("key")
+    rows = classes.select(F.explode("bands").alias("key"), "cls")
+    return rows.select("key", "cls", F.min("cls").over(whole).alias("first"), F.count(F.lit(1)).over(whole).alias("n")).filter("n > 1")
+
+
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """For each class the one pair with the class that comes first in most of its buckets."""
+    ways = buckets.filter("first < cls").groupBy("cls", "first").agg(F.count(F.lit(1)).alias("ways"))
+    return ways.groupBy(F.col("cls").alias("b")).agg(F.max_by("first", F.struct("ways", -F.col("first"))).alias("a")).select("a", "b")
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their components, of those buckets that hold several components."""
+    rows = buckets.join(labels, buckets["cls"] == labels["node"], "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    return rows.join(several, "key")
+
+
+def near_pairs(buckets: DataFrame) -> DataFrame:
+    """a < b of different components: each member of a bucket with the first of it and with the `NEAR` before it."""
     order = Window.partitionBy("key").orderBy("cls")
-    others = F.array(F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag("cls", k).over(order) for k in range(1, NEAR + 1)))
-    listed = members.select("cls", others.alias("others"))
-    pairs = listed.select(F.explode(F.array_distinct(F.filter("others", lambda x: x.isNotNull() & (x < F.col("cls"))))).alias("a"), F.col("cls").alias("b"))
-    return pairs.dropDuplicates(["a", "b"])
+    who = F.struct("cls", "component")
+    others = F.array(F.first(who).over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag(who, k).over(order) for k in range(1, NEAR + 1)))
+    listed = buckets.select("cls", "component", others.alias("others"))
+    fit = F.filter("others", lambda x: x.isNotNull() & (x["cls"] < F.col("cls")) & (x["component"] != F.col("component")))
+    return listed.select(F.explode(F.array_distinct(F.transform(fit, lambda x: x["cls"]))).alias("a"), F.col("cls").alias("b")).dropDuplicates(["a", "b"])
 
 
 def _blocks(buckets: DataFrame) -> DataFrame:
-    """Pairs of blocks of those buckets that hold several components: bucket rows key, cls, component, signature."""
-    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).filter(F.col("n") > NEAR + 1)
-    open_rows = buckets.join(several.select("key", "n"), "key")
+    """Pairs of blocks of buckets: rows key, cls, n, component, signature, each for all the pairs that its block is in."""
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("cls"), n_blocks).cast("int"))
-    # a row goes to every pair of blocks that its block is in
+    dealt = buckets.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("cls"), n_blocks).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "component", "signature")
 
@@ -155,12 +174,10 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Linker:
-    """Confirms candidate pairs of classes and keeps the component of each class."""
+    """Estimates and confirms candidate pairs of classes."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
         self.docs, self.classes = docs, classes
-        self.sets: DataFrame | None = None
-        self.seen: DataFrame | None = None
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         sig = self.classes.select("cls", "signature")
@@ -218,26 +235,20 @@ def link(docs: DataFrame) -> DataFrame:
     first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("m"), F.count(F.lit(1)).alias("n_rows"))
     classes = materialise(first.select("set_key", F.col("m.doc_id").alias("cls"), F.col("m.bands").alias("bands"), F.col("m.signature").alias("signature"), "n_rows"), "minhash-classes")
     linker = Linker(docs, classes)
-    members = classes.select(F.explode("bands").alias("key"), "cls")
-    star = materialise(linker.estimated(star_pairs(members)), "minhash-candidates")
-    # the first link of each class spans most of each component; of the rest only pairs across components are needed
-    spanning = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = materialise(linker.confirmed(spanning), "minhash-edges")
+    buckets = materialise(shared_buckets(classes), "minhash-buckets")
+    # the hubs' links span most of each component; after them only pairs across components are needed
+    edges = materialise(linker.confirmed(materialise(linker.estimated(hub_pairs(buckets)), "minhash-candidates")), "minhash-edges")
     labels = components(edges)
-    across = materialise(_across(star.join(spanning, ["a", "b"], "left_anti"), labels), "minhash-across")
-    if not across.isEmpty():
-        edges = edges.unionByName(materialise(linker.confirmed(across), "minhash-edges"))
+    near = materialise(linker.estimated(near_pairs(open_buckets(buckets, labels))), "minhash-candidates")
+    if not near.isEmpty():
+        edges = edges.unionByName(materialise(linker.confirmed(near), "minhash-edges"))
+        labels = components(edges)
+    large = open_buckets(buckets.filter(F.col("n") > NEAR + 1), labels).join(classes.select("cls", "signature"), "cls")
+    more = _blocks(large).groupBy("key", "one", "two").applyInPandas(_compare, "a long, b long").dropDuplicates(["a", "b"])
+    rest = materialise(more.join(near, ["a", "b"], "left_anti"), "minhash-candidates")
+    if not rest.isEmpty():
+        edges = edges.unionByName(materialise(linker.confirmed(rest), "minhash-edges"))
         labels = components(edges)
-    own = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "signature", "bands", F.coalesce("component", "cls").alias("component"))
-    rows = own.select(F.explode("bands").alias("key"), "cls", "component")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter((F.col("n") > NEAR + 1) & (F.col("low") != F.col("high"))).select("key")
-    large = materialise(rows.join(buckets, "key").join(own.select("cls", "signature"), "cls"), "minhash-large")
-    if not large.isEmpty():
-        more = _blocks(large).groupBy("key", "one", "two").applyInPandas(_compare, "a long, b long").dropDuplicates(["a", "b"])
-        rest = materialise(more.join(star, ["a", "b"], "left_anti"), "minhash-rest")
-        if not rest.isEmpty():
-            edges = edges.unionByName(materialise(linker.confirmed(rest), "minhash-edges"))
-            labels = components(edges)
     final = classes.join(labels, classes["cls"] == labels["node"], "left").select("set_key", "n_rows", F.coalesce("component", "cls").alias("component_id"))
     linked = join_hot(some.select("doc_id", "n_shingles", "set_key"), final, "set_key", "n_rows", "inner").select("doc_id", "n_shingles", "component_id")
     alone = signed_rows.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -245,13 +256,6 @@ def link(docs: DataFrame) -> DataFrame:
     return every.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    left = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
-    right = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    both = pairs.join(left, "a", "left").join(right, "b", "left")
-    return both.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, one of each component: that of the least doc_id, and one row of it."""
     keep = link(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()

@@ -77,7 +77,7 @@ def test_blocks_find_every_pair(spark):
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
     sig = [r["signature"] for b in minhash._sign(iter([batch])) for r in b.to_pylist()]
-    rows = spark.createDataFrame([(7, i, i, sig[i]) for i in range(600)], "key long, cls long, component long, signature array<long>")
+    rows = spark.createDataFrame([(7, i, 600, i, sig[i]) for i in range(600)], "key long, cls long, n long, component long, signature array<long>")
     pairs = minhash._blocks(rows).groupBy("key", "one", "two").applyInPandas(minhash._compare, "a long, b long")
     n = pairs.count()
     assert n == pairs.distinct().count() and n >= 0.99 * 600 * 599 / 2
