@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,6 +44,20 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of few rows while a block runs: sets and texts are long, and tasks hold several batches at a time."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def unit_bucket(key: Column) -> Column:
     """doc_id's remainder by five, as the contracts of the learning operators ask for it; null stays null."""
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % F.lit(5)

@@ -9,8 +9,8 @@ may reach the threshold are confirmed on the full sets. Linked classes are joine
 A bucket never makes all its pairs. First each class is paired with the one class that comes first in most of its buckets;
 from there on pairs are needed only between components. In buckets that hold several, members stand in order and each is
 paired with the first and with the `NEAR` before it, if of another component: small buckets are complete so. In larger
-ones that still hold several components, members are compared, in blocks of signatures, with all members of other
-components, and only pairs whose estimate may reach the threshold leave the comparison. That is exact for any bucket.
+ones that still hold several components, members are compared, in blocks, with all members of other components by an upper
+bound of the similarity, and only pairs that may reach the threshold leave the comparison. That is exact for any bucket.
 
 Probability of a common bucket: 1 - (1 - s**5)**32, which is 0.9998 for s = 0.75 and 0.999997 for s = 0.8.
 
@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, join_hot, materialise
+from .common import documents, join_hot, materialise, small_batches
 from .tokens import mix, shingles, signed, words
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -153,23 +153,32 @@ def near_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def _blocks(buckets: DataFrame) -> DataFrame:
-    """Pairs of blocks of buckets: rows key, cls, n, component, signature, each for all the pairs that its block is in."""
+    """Pairs of blocks of buckets: rows key, cls, n, component, small, each for all the pairs that its block is in."""
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = buckets.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("cls"), n_blocks).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return paired.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "component", "signature")
+    return paired.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "component", "small")
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    cls, comp = rows["cls"].to_numpy(), rows["component"].to_numpy()
-    block, sig = rows["block"].to_numpy(), np.stack(rows["signature"].to_numpy()).view(np.uint64)
-    one = np.flatnonzero(block == rows["one"].iloc[0])
-    two = np.flatnonzero(block == rows["two"].iloc[0])
+    """Pairs of different components that may be similar, by an upper bound: elements that agree in their first 16 bits."""
+    cls, comp, block = (rows[c].to_numpy() for c in ("cls", "component", "block"))
+    small = [np.frombuffer(x, dtype=np.uint16) for x in rows["small"]]
+    size = np.array([len(x) for x in small])
+    one, two = (np.flatnonzero(block == rows[c].iloc[0]) for c in ("one", "two"))
+    same = rows["one"].iloc[0] == rows["two"].iloc[0]
+    there = np.zeros(1 << 16, dtype=bool)
+    joint = np.concatenate([small[j] for j in two])
+    edge = np.concatenate([[0], np.cumsum(size[two])])[:-1]
     found = []
     for i in one:
-        j = two[(comp[two] != comp[i]) & (cls[two] > cls[i])] if rows["one"].iloc[0] == rows["two"].iloc[0] else two[comp[two] != comp[i]]
-        j = j[similarity(sig[j], sig[i]) >= LEAST_ESTIMATE]
-        found += [(min(cls[i], c), max(cls[i], c)) for c in cls[j]]
+        there[small[i]] = True
+        both = np.minimum(np.add.reduceat(there[joint].astype(np.int64), edge), size[i])
+        there[small[i]] = False
+        may = (100 * both >= PERCENT * (size[i] + size[two] - both)) & (comp[two] != comp[i])
+        if same:
+            may &= cls[two] > cls[i]
+        found += [(min(cls[i], c), max(cls[i], c)) for c in cls[two[may]]]
     return pd.DataFrame(found, columns=["a", "b"])
 
 
@@ -185,29 +194,36 @@ class Linker:
         both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("cls").alias("b"), F.col("signature").alias("y")), "b")
         return both.filter(estimate("x", "y") >= LEAST_ESTIMATE).select("a", "b")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar on their full sets. Sets are made again from the texts of the classes' first documents."""
-        need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        keys = need.join(self.classes.select("cls", F.col("set_key").alias("want")), "cls")
+    def sets(self, names: DataFrame) -> DataFrame:
+        """cls, own and small of the named classes: full sets, made again from the texts of the classes' first documents."""
+        keys = names.join(self.classes.select("cls", F.col("set_key").alias("want")), "cls")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(keys, "cls")
-        sets = materialise(texts.select("cls", "text", "want").mapInArrow(_full, "cls long, own binary").dropDuplicates(["cls"]), "minhash-sets")
+        return materialise(texts.select("cls", "text", "want").mapInArrow(_full, "cls long, own binary, small binary").dropDuplicates(["cls"]), "minhash-sets")
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs that are similar on their full sets."""
+        if sets is None:
+            sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
         confirm = F.pandas_udf(_confirm, "boolean")
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
         return both.filter(confirm("x", "y")).select("a", "b")
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["cls", "own", "small"])
+
     for batch in batches:
-        rows, own = [], []
+        rows = []
         want, names = batch.column(2), batch.column(0)
         for row, hashes in _sets(batch, 1):
             if _key(hashes) == want[row].as_py():  # another text may have the same doc_id
-                rows.append(names[row].as_py())
-                own.append(hashes.tobytes())
+                rows.append((names[row].as_py(), hashes.tobytes(), (hashes >> np.uint64(48)).astype(np.uint16).tobytes()))
                 if len(rows) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(own, pa.binary())], names=["cls", "own"])
-                    rows, own = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(own, pa.binary())], names=["cls", "own"])
+                    yield rows_of(rows)
+                    rows = []
+        yield rows_of(rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,6 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    with small_batches(docs.sparkSession):
+        return _link(docs)
+
+
+def _link(docs: DataFrame) -> DataFrame:
     signed_rows = materialise(signatures(docs), "minhash-signatures")
     some = signed_rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("m"), F.count(F.lit(1)).alias("n_rows"))
@@ -239,15 +260,17 @@ def link(docs: DataFrame) -> DataFrame:
     # the hubs' links span most of each component; after them only pairs across components are needed
     edges = materialise(linker.confirmed(materialise(linker.estimated(hub_pairs(buckets)), "minhash-candidates")), "minhash-edges")
     labels = components(edges)
-    near = materialise(linker.estimated(near_pairs(open_buckets(buckets, labels))), "minhash-candidates")
+    several = materialise(open_buckets(buckets, labels), "minhash-open")
+    sets = linker.sets(several.select("cls").distinct())
+    near = materialise(linker.estimated(near_pairs(several)), "minhash-candidates")
     if not near.isEmpty():
-        edges = edges.unionByName(materialise(linker.confirmed(near), "minhash-edges"))
+        edges = edges.unionByName(materialise(linker.confirmed(near, sets), "minhash-edges"))
         labels = components(edges)
-    large = open_buckets(buckets.filter(F.col("n") > NEAR + 1), labels).join(classes.select("cls", "signature"), "cls")
+    large = open_buckets(several.filter(F.col("n") > NEAR + 1).drop("component"), labels).join(sets.select("cls", "small"), "cls")
     more = _blocks(large).groupBy("key", "one", "two").applyInPandas(_compare, "a long, b long").dropDuplicates(["a", "b"])
     rest = materialise(more.join(near, ["a", "b"], "left_anti"), "minhash-candidates")
     if not rest.isEmpty():
-        edges = edges.unionByName(materialise(linker.confirmed(rest), "minhash-edges"))
+        edges = edges.unionByName(materialise(linker.confirmed(rest, sets), "minhash-edges"))
         labels = components(edges)
     final = classes.join(labels, classes["cls"] == labels["node"], "left").select("set_key", "n_rows", F.coalesce("component", "cls").alias("component_id"))
     linked = join_hot(some.select("doc_id", "n_shingles", "set_key"), final, "set_key", "n_rows", "inner").select("doc_id", "n_shingles", "component_id")
