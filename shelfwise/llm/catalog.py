@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lm, minhash, mixing, quality, secrets, sharding
+from . import decontaminate, licenses, lm, minhash, mixing, quality, secrets, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op3_minhash": minhash.op3_minhash,
         "op4_quality": quality.op4_quality,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_urls": urls.op6_urls,
         "op7_licenses": licenses.op7_licenses,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_sharding": sharding.op9_sharding,

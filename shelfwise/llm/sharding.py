@@ -121,8 +121,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return numbered.join(starts, ["shard", "slice"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"))
 
 
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The digest of an assignment. The law of the shards is `bytes`: sizes are as near equal as whole groups allow."""
+    return assign(docs, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The law of the shards is `bytes`: sizes are as near equal as whole groups allow."""
-    return assign(documents(spark, sf_dir)).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    return shard_documents(documents(spark, sf_dir))
