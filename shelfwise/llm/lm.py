@@ -6,8 +6,8 @@ moves few large rows and a segment is merged by NumPy. No segment grows with a h
 
 The model is a bigram model with Dirichlet smoothing towards unigrams, p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU) with
 p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), whose counts come from the filter. A count c is stored as its level
-1 + floor(log(c) / log(BASE)): the key is set once for each level up to it, with `PROBES` bits a level, and read by probing level after level up to
-the first miss. The filter is blocked by the key's segment; a segment has the bits that its entries need, up to its
+1 + floor(log(c) / log(BASE)): the key is set once for each level up to it, with `PROBES` bits a level, and read by probing
+level after level up to the first miss. The filter is blocked by the key's segment; a segment has the bits that its entries need, up to its
 share of `FILTER_BYTES`, so what is broadcast has a fixed bound. Where a segment has more entries than its share of bits
 holds, the bigrams of the lowest level are left out of it first, then those of the next: counting is never cut, the
 filter's resolution is. (A full-size filter for unlimited text cannot be broadcast.)
@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, materialise, unit_bucket
+from .common import documents, materialise, small_batches, unit_bucket
 from .tokens import mix, words
 
 FREQUENT = 1 << 17
@@ -39,6 +39,8 @@ PROBES = 5
 BASE = 2.0
 MU = 40.0
 SEGMENT_TOKENS = 1_000_000
+#: Rows whose sums travel together; ids of rows are cut here.
+BLOCK = 4096
 #: The hash of the end token and the factor that makes a bigram's hash of its words'.
 END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xD1342543DE82EF95)
@@ -76,15 +78,27 @@ def _cut(kind: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterat
         yield kind, int(s), hashes[own].tobytes(), counts[own].astype(np.uint32).tobytes()
 
 
-def _count(bits: int, chunk: int = 1 << 24):
+def _count(bits: int, flush: int = 3_000_000):
+    """Counts of the words and of the bigrams of about `flush` tokens at a time, cut by segment."""
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for kind in (1, 2):
+            rows += _cut(kind, *np.unique(np.concatenate([x[kind - 1] for x in held]), return_counts=True), bits)
+        return _rows(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for w in words(batch.column(0), chunk):
+            for w in words(batch.column(0)):
                 tokens, bound = _with_ends(w)
-                rows = []
-                for kind, keys in ((1, tokens), (2, bigrams(tokens, bound))):
-                    rows += _cut(kind, *np.unique(keys, return_counts=True), bits)
-                yield _rows(rows)
+                held.append((tokens, bigrams(tokens, bound)))
+                n += len(tokens)
+                if n >= flush:
+                    yield counted(held)
+                    held, n = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
@@ -207,12 +221,12 @@ class Model:
 SCORED = "kind int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, segment int, hashes binary, docs binary"
 
 
-def _score(shared, bits: int, chunk: int = 1 << 22):
+def _score(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             row_ids = np.asarray(batch.column(3))
-            for w in words(batch.column(2), chunk):
+            for w in words(batch.column(2)):
                 tokens, bound = _with_ends(w)
                 n = len(w.count)
                 known, counts = model.exact(tokens)
@@ -249,11 +263,11 @@ _NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
 def _lookup(tokens: int, distinct: int):
-    """Sums of the rare words' parts by row: the words of a segment meet the segment's exact counts."""
+    """Sums of the rare words' parts by row, packed by block of rows: the words of a segment meet its exact counts."""
 
     def run(asked: pd.DataFrame, exact: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
-            return pd.DataFrame({"row": pd.Series([], dtype=np.int64), "known": pd.Series([], dtype=np.int64), "part": pd.Series([], dtype=float)})
+            return pd.DataFrame({"block": pd.Series([], dtype=np.int64), "rows": [], "known": [], "parts": []})
         keys = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in asked["hashes"]])
         rows = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in asked["docs"]])
         count = np.zeros(len(keys), dtype=np.int64)
@@ -264,11 +278,22 @@ def _lookup(tokens: int, distinct: int):
             count = np.where(h[at] == keys, c[at].astype(np.int64), 0)
         part = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
         row, where = np.unique(rows, return_inverse=True)
-        return pd.DataFrame({"row": row, "known": np.bincount(where, count > 0, len(row)).astype(np.int64), "part": np.bincount(where, part, len(row))})
+        known, parts = np.bincount(where, count > 0, len(row)).astype(np.int64), np.bincount(where, part, len(row))
+        edges = np.flatnonzero(np.diff(row // BLOCK, prepend=-1))
+        cuts = [slice(i, j) for i, j in zip(edges, [*edges[1:], len(row)])]
+        return pd.DataFrame({"block": row[edges] // BLOCK, **{name: [x[c].tobytes() for c in cuts] for name, x in (("rows", row), ("known", known), ("parts", parts))}})
 
     return run
 
 
+def _sum_block(blobs: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one block's rows over all segments."""
+    rows, known = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in blobs[c]]) for c in ("rows", "known"))
+    parts = np.concatenate([np.frombuffer(x, dtype=np.float64) for x in blobs["parts"]])
+    row, where = np.unique(rows, return_inverse=True)
+    return pd.DataFrame({"row": row, "known": np.bincount(where, known, len(row)).astype(np.int64), "part": np.bincount(where, parts, len(row))})
+
+
 def _reduce(bits: int, most_bits: int):
     """A segment's words with their exact counts, its totals, and its block of the filter."""
 
@@ -312,6 +337,11 @@ def _frequent(least: int):
 
 def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    with small_batches(docs.sparkSession, rows=2000):
+        return _scored(docs, held_out)
+
+
+def _scored(docs: DataFrame, held_out: int) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(unit_bucket(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -320,9 +350,10 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
     rows = keyed.withColumn("row", F.monotonically_increasing_id())
     both = materialise(rows.mapInArrow(_score(shared, bits), SCORED), "lm-scored")
     rare = both.filter("kind = 1").select("segment", "hashes", "docs").groupBy("segment").cogroup(counted.groupBy("segment"))
-    parts = rare.applyInPandas(_lookup(model.tokens, model.distinct), "row long, known long, part double").groupBy("row").agg(F.sum("known").alias("known"), F.sum("part").alias("part"))
+    blobs = rare.applyInPandas(_lookup(model.tokens, model.distinct), "block long, rows binary, known binary, parts binary")
+    parts = blobs.groupBy("block").applyInPandas(_sum_block, "row long, known long, part double")
     own = both.filter("kind = 0").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    joined = own.join(parts, "row", "left")
+    joined = own.join(materialise(parts, "lm-rare"), "row", "left")
     return joined.select(
         "doc_id",
         "held_out",

@@ -21,6 +21,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, unit_bucket
 
-SAMPLE = 1500
-SAMPLE_TOKENS = 600_000
+SAMPLE = 1200
+SAMPLE_TOKENS = 400_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: An indicator is so many times likelier in toxic documents, with at least this log-likelihood ratio (G squared).
 LEAST_RATIO, LEAST_G = 5.0, 16.0
@@ -157,13 +158,17 @@ def words(text: str | None) -> list[str]:
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 25) -> Tagger | None:
     """A tagger from (text, label) rows; None if a class is missing."""
-    docs, labels = [words(t) for t, _ in rows], np.array([y for _, y in rows])
+    docs, labels = [[sys.intern(w) for w in words(t)] for t, _ in rows], np.array([y for _, y in rows])
     if not (labels == 1).any() or not (labels == 0).any():
         return None
     in_toxic, in_clean = Counter(), Counter()
     copies = Counter((tuple(d), int(y)) for d, y in zip(docs, labels))
     for d, y in copies:  # copies of a text tell no more than one
-        (in_toxic if y else in_clean).update({f for w in set(d) for f in features(w)})
+        if y:
+            in_toxic.update({f for w in set(d) for f in features(w)})
+    for d, y in copies:
+        if not y:
+            in_clean.update({f for w in set(d) for f in features(w) if f in in_toxic})
     n1, n0 = (labels == 1).sum(), (labels == 0).sum()
     indicator = set()
     for f, n in in_toxic.items():
@@ -174,12 +179,12 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 25) -> Tagger | None:
             indicator.add(f)
     del copies
     index = {f: i for i, f in enumerate(sorted(indicator))}
-    tokens = [(i, w) for i, d in enumerate(docs) for w in d][:SAMPLE_TOKENS]
+    tokens = [w for d in docs for w in d][:SAMPLE_TOKENS]
     if not index or not tokens:
         return Tagger({}, -10.0, np.zeros((2, 2)), np.array([np.log(n1 / n0), 0.0, 0.0]))
-    owner = np.array([i for i, _ in tokens])
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[: len(tokens)]
     cache: dict[str, list[int]] = {}
-    lists = [cache[w] if w in cache else cache.setdefault(w, [index[f] for f in features(w) if f in index]) for _, w in tokens]
+    lists = [cache[w] if w in cache else cache.setdefault(w, [index[f] for f in features(w) if f in index]) for w in tokens]
     has = np.array([bool(x) for x in lists])
     target = has & (labels[owner] == 1)
     begin = np.concatenate([[True], owner[1:] != owner[:-1]])
