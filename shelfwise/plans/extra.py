@@ -1,19 +1,93 @@
-"""Queries for the operators beside the named ones."""
+"""Queries for the operators beside the named ones: each as SQL for both engines, or as a function."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .named import dialect_text
+from ..sources import warehouse
+from . import forecast_run
+from .named import dialect_text, rnd
 
-QUERIES: dict[str, str] = {}
+QUERIES: dict[str, str] = {
+    "asof_inventory": "SELECT run_id, store_id, product_id, on_hand, on_order, held FROM positions",
+    "latest_inventory": "SELECT store_id, product_id, on_hand, on_order FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY snapshot_day DESC) AS rn FROM inventory_snapshots) s WHERE rn = 1",
+    "fc_seasonal_naive": "SELECT run_id, store_id, product_id, target_day, yhat FROM forecasts",
+    "backtest_folds": "SELECT run_id, store_id, product_id, h, y, naive, total / 28e0 AS moving_average FROM folds",
+    "backtest_metrics": "SELECT run_id, store_id, product_id, model_name, mae, wape, bias FROM backtest_metrics",
+    "select_model": "SELECT run_id, store_id, product_id, model_name, mae FROM backtest_metrics WHERE selected = 1",
+    "backtest_coverage": f"SELECT run_id, {rnd('avg(CASE WHEN abs(y - naive) <= 5 THEN 1e0 ELSE 0e0 END)', 6)} AS coverage FROM folds GROUP BY run_id",
+    "policy_reorder": f"SELECT run_id, store_id, product_id, {rnd('lead_time_demand', 6)} AS lead_time_demand, {rnd('safety_stock', 6)} AS safety_stock, {rnd('reorder_point', 6)} AS reorder_point, {rnd('order_up_to', 6)} AS order_up_to, order_qty, reason FROM replenishment_orders",
+    "policy_pack_rounding": "SELECT o.run_id, count(*) AS n, CAST(sum(CASE WHEN o.order_qty % p.case_pack = 0 THEN 0 ELSE 1 END) AS BIGINT) AS broken FROM replenishment_orders o JOIN products p ON p.product_id = o.product_id GROUP BY o.run_id",
+    "evaluate_run": "SELECT run_id, store_id, product_id, model_name, n_days, mae, wape, bias, coverage, abs_error_sum, actual_sum, stockout_days FROM forecast_evaluations",
+    "abc_as_of_cutoff": """
+WITH sold AS (SELECT r.run_id, s.product_id, CAST(sum(s.revenue) AS DECIMAL(30, 4)) AS revenue FROM sales_daily s JOIN forecast_runs r ON s.day <= r.cutoff_day AND s.day > {days_before|r.cutoff_day|90} GROUP BY r.run_id, s.product_id),
+shares AS (SELECT run_id, product_id, CAST(sum(revenue) OVER (PARTITION BY run_id ORDER BY revenue DESC, product_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(CAST(sum(revenue) OVER (PARTITION BY run_id) AS DOUBLE), 0) AS share FROM sold)
+SELECT run_id, product_id, CASE WHEN share <= 7e-1 THEN 'A' WHEN share <= 9e-1 THEN 'B' ELSE 'C' END AS abc_class FROM shares""",
+    "promo_sales_days": "SELECT s.store_id, s.product_id, s.day FROM sales_daily s WHERE EXISTS (SELECT 1 FROM promotions p WHERE p.product_id = s.product_id AND s.day BETWEEN p.start_day AND p.end_day AND (p.store_id IS NULL OR p.store_id = s.store_id))",
+    "promo_lift_estimate": f"""
+WITH marked AS (
+  SELECT s.product_id, s.units_sold, CASE WHEN EXISTS (SELECT 1 FROM promotions p WHERE p.product_id = s.product_id AND s.day BETWEEN p.start_day AND p.end_day AND (p.store_id IS NULL OR p.store_id = s.store_id)) THEN 1 ELSE 0 END AS on_promo FROM sales_daily s),
+sums AS (SELECT product_id, CAST(sum(on_promo) AS BIGINT) AS n, count(*) - CAST(sum(on_promo) AS BIGINT) AS m, CAST(sum(on_promo * units_sold) AS DOUBLE) AS a, CAST(sum((1 - on_promo) * units_sold) AS DOUBLE) AS b FROM marked GROUP BY product_id)
+SELECT product_id, CASE WHEN n < 7 OR m = 0 OR b <= 0 THEN 1e0 ELSE {rnd("least(greatest(1 + ((a / nullif(n, 0)) / (b / nullif(m, 0)) - 1) * n / (n + 7), 1e0), 5e0)", 9)} END AS lift FROM sums""",
+    "fk_antijoin": "SELECT s.product_id, count(*) AS n FROM sales_daily s LEFT JOIN products p ON p.product_id = s.product_id WHERE p.product_id IS NULL GROUP BY s.product_id",
+    "region_category_rollup": f"SELECT st.region, p.category, CAST(sum(s.units_sold) AS BIGINT) AS units, {rnd('sum(s.revenue)', 2)} AS revenue FROM sales_daily s JOIN stores st ON st.store_id = s.store_id JOIN products p ON p.product_id = s.product_id GROUP BY GROUPING SETS ((), (st.region), (p.category))",
+}
 
 
 def text(name: str, dialect: str) -> str:
     return dialect_text(QUERIES[name].strip(), dialect)
 
 
+def retail_tables(spark: SparkSession, sf_dir: str, coarse: bool = False) -> dict[str, DataFrame]:
+    """The retail tables of a star schema; coarse: regions as stores and categories as products, so that series are dense."""
+    warehouse.views(spark, sf_dir)
+    get = lambda name: spark.sql(warehouse.with_tables(f"SELECT * FROM {name}", "spark"))
+    tables = {n: get(n) for n in ("stores", "products", "sales_daily", "promotions", "inventory_snapshots")}
+    if not coarse:
+        return tables
+    by_store = tables["stores"].select("store_id", F.dense_rank().over(_all("region")).cast("long").alias("s"))
+    by_product = tables["products"].select("product_id", F.dense_rank().over(_all("category")).cast("long").alias("p"))
+    moved = lambda df: df.join(F.broadcast(by_store), "store_id").join(F.broadcast(by_product), "product_id")
+    key = [F.col("s").alias("store_id"), F.col("p").alias("product_id")]
+    sales = moved(tables["sales_daily"]).groupBy(*key, "day").agg(F.sum("units_sold").alias("units_sold"), F.sum("revenue").alias("revenue"), F.max("stockout_flag").alias("stockout_flag"))
+    stock = moved(tables["inventory_snapshots"]).groupBy(*key, "snapshot_day").agg(F.sum("on_hand").alias("on_hand"), F.sum("on_order").alias("on_order"))
+    promos = tables["promotions"].filter("promo_id % 10 = 0").join(F.broadcast(by_product), "product_id").select("promo_id", F.col("p").alias("product_id"), F.lit(None).cast("long").alias("store_id"), "start_day", "end_day", "discount_pct")
+    products = tables["products"].join(F.broadcast(by_product), "product_id").groupBy(F.col("p").alias("product_id")).agg(F.min("unit_cost").alias("unit_cost"), F.min("case_pack").alias("case_pack"), F.max("lead_time_days").alias("lead_time_days"), F.max("shelf_life_days").alias("shelf_life_days"))
+    return {"stores": by_store.select(F.col("s").alias("store_id")).distinct(), "products": products, "sales_daily": sales, "promotions": promos, "inventory_snapshots": stock}
+
+
+def _all(column: str):
+    from pyspark.sql import Window
+
+    return Window.orderBy(column)  # over one row a store or product
+
+
+def densify_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import series
+
+    tables = retail_tables(spark, sf_dir, coarse=True)
+    return series.densify(tables["sales_daily"], dt.date(1996, 6, 30))
+
+
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a whole run over the coarse series."""
+    return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig()).orders
+
+
+def full_run_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig()).forecasts
+
+
+def full_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig()).metrics
+
+
+def budget_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig(order_budget=50_000.0)).orders
+
+
 def functions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"densify_series": densify_series, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation}
