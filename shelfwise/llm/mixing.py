@@ -158,12 +158,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id, source and size are taken equally often, so the rows are joined to the plan by these.
     """
-    plan = curriculum(mix(docs)).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "position", "epoch")
-    same = plan.groupBy("__id", "__source", "__size", "epoch").agg(F.min("position").alias("position"))
+    plan = curriculum(mix(docs)).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "position", F.col("epoch").alias("__epoch"))
+    same = plan.groupBy("__id", "__source", "__size", "__epoch").agg(F.min("position").alias("__position"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("__own", size)
     joined = rows.join(same, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size")))
-    return joined.repartitionByRange(F.col("position")).sortWithinPartitions("position", "doc_id").select(*docs.columns)
+    return joined.repartitionByRange(F.col("__position")).sortWithinPartitions("__position", "doc_id").select(*(rows[c] for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

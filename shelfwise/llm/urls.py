@@ -2,7 +2,8 @@
 
 Hosts are judged by two personalised PageRanks over host-to-host links: trust starts at hosts with pages that a rule
 allows and follows links; distrust starts at hosts with pages that a rule blocks and follows links backwards, to those
-who link there. A page without a rule is blocked if its host's distrust is above `DISTRUST` and above its trust.
+who link there. A page without a rule is blocked if the distrust that its host gets over links is above a bound (`DISTRUST`)
+and above the trust that it gets so: a rule for some of a host's pages does not judge its other pages.
 
 Links are summed to host pairs before anything else, so no step holds a host's pages; ranks are kept a row a host, sums
 are made with partial sums, and every `CUT` rounds the ranks are written to shared storage to end their lineage. Rounds are
@@ -26,8 +27,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DAMPING = 0.85
 ROUNDS = 16
 CUT = 4
-#: Ranks are shares of the seeds' weight, so that a bound does not depend on the number of hosts: of the host's own
-#: pages' share, distrust must be this many times as much.
+#: Distrust that reaches a host over links must be this many times what a seed with the host's share of all pages starts with.
 DISTRUST = 1.0
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
@@ -98,9 +98,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, distrust:
     hosts = materialise(hosts.filter("host != ''"), "url-hosts")
     seeds = hosts.select(F.lit("allow").alias("kind"), "host", F.col("allow").alias("weight")).unionByName(hosts.select(F.lit("block").alias("kind"), "host", F.col("block").alias("weight"))).filter("weight > 0")
     rank = ranks(host_links(pages), seeds)
-    pages_all = hosts.agg(F.sum("n")).first()[0] or 1
-    scored = hosts.join(rank, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.col("n").alias("host_pages"))
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * pages_all > distrust * F.col("host_pages"))
+    every, allowed, blocked = (float(x or 1) for x in hosts.agg(F.sum("n"), F.sum("allow"), F.sum("block")).first())
+    own = lambda kind, total: (1 - DAMPING) * F.col(kind) / F.lit(total or 1.0)  # noqa: E731  what a host has as a seed itself
+    scored = hosts.join(rank, "host", "left").select(
+        "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.col("n").alias("host_pages"),
+        (F.coalesce("trust", F.lit(0.0)) - own("allow", allowed)).alias("got_trust"), (F.coalesce("distrust", F.lit(0.0)) - own("block", blocked)).alias("got_distrust"),
+    )
+    bad = (F.col("got_distrust") > F.col("got_trust")) & (F.col("got_distrust") > distrust * (1 - DAMPING) * F.col("host_pages") / F.lit(every))
     judged = join_hot(known, scored.withColumn("bad", bad), "host", "host_pages")
     method = F.when(F.coalesce(F.col("bad"), F.lit(False)), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
