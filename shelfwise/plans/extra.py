@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..sources import warehouse
+from ..functions import cells
+from ..operators import series
+from ..sources import simulate, warehouse
 from . import forecast_run
 from .named import dialect_text, rnd
 
@@ -32,6 +35,23 @@ WITH marked AS (
   SELECT s.product_id, s.units_sold, CASE WHEN EXISTS (SELECT 1 FROM promotions p WHERE p.product_id = s.product_id AND s.day BETWEEN p.start_day AND p.end_day AND (p.store_id IS NULL OR p.store_id = s.store_id)) THEN 1 ELSE 0 END AS on_promo FROM sales_daily s),
 sums AS (SELECT product_id, CAST(sum(on_promo) AS BIGINT) AS n, count(*) - CAST(sum(on_promo) AS BIGINT) AS m, CAST(sum(on_promo * units_sold) AS DOUBLE) AS a, CAST(sum((1 - on_promo) * units_sold) AS DOUBLE) AS b FROM marked GROUP BY product_id)
 SELECT product_id, CASE WHEN n < 7 OR m = 0 OR b <= 0 THEN 1e0 ELSE {rnd("least(greatest(1 + ((a / nullif(n, 0)) / (b / nullif(m, 0)) - 1) * n / (n + 7), 1e0), 5e0)", 9)} END AS lift FROM sums""",
+    "calendar_fill": "SELECT day, day_of_week FROM calendar",
+    "fc_moving_average_level": "SELECT DISTINCT run_id, store_id, product_id, total / 28e0 AS level FROM folds",
+    "residual_std": f"SELECT run_id, {rnd('sqrt((CAST(sum(CAST((y - naive) * (y - naive) AS BIGINT)) AS DOUBLE) - CAST(sum(y - naive) AS DOUBLE) * CAST(sum(y - naive) AS DOUBLE) / count(*)) / (count(*) - 1))', 6)} AS sigma FROM folds GROUP BY run_id",
+    "interval_apply": "SELECT run_id, store_id, product_id, target_day, greatest(0e0, yhat - 2e0 * (1 + 1e-2 * (h - 1))) AS lower, yhat + 3e0 * (1 + 1e-2 * (h - 1)) AS upper FROM forecasts",
+    "upsert_merge": """
+WITH incoming AS (SELECT store_id, product_id, snapshot_day, on_hand + 1 AS on_hand, on_order FROM inventory_snapshots WHERE store_id % 2 = 0),
+kept AS (SELECT o.* FROM inventory_snapshots o LEFT JOIN incoming i ON i.store_id = o.store_id AND i.product_id = o.product_id AND i.snapshot_day = o.snapshot_day WHERE i.store_id IS NULL)
+SELECT store_id, product_id, snapshot_day, on_hand, on_order FROM kept UNION ALL SELECT store_id, product_id, snapshot_day, on_hand, on_order FROM incoming""",
+    "ingest_dedup_first_wins": """
+WITH file AS (SELECT * FROM (VALUES (2, 1, 'BLR'), (3, 2, 'HYD'), (4, 2, 'DUP'), (5, 3, 'CHN'), (6, 1, 'AGAIN')) AS v(row_no, store_id, store_code)),
+numbered AS (SELECT *, min(row_no) OVER (PARTITION BY store_id) AS first_row FROM file)
+SELECT row_no, store_id, store_code, first_row, CASE WHEN row_no > first_row THEN 1 ELSE 0 END AS rejected FROM numbered""",
+    "integrity_check": """
+SELECT 'units' AS rule, count(*) AS n FROM sales_daily WHERE NOT (units_sold >= 0) UNION ALL SELECT 'revenue', count(*) FROM sales_daily WHERE NOT (revenue >= 0)
+UNION ALL SELECT 'store', count(*) FROM sales_daily s LEFT JOIN stores t ON t.store_id = s.store_id WHERE t.store_id IS NULL
+UNION ALL SELECT 'promotion', count(*) FROM promotions WHERE NOT (end_day >= start_day AND discount_pct > 0 AND discount_pct < 1)""",
+    "table_counts": "SELECT 'stores' AS table_name, count(*) AS n FROM stores UNION ALL SELECT 'products', count(*) FROM products UNION ALL SELECT 'sales_daily', count(*) FROM sales_daily UNION ALL SELECT 'promotions', count(*) FROM promotions",
     "fk_antijoin": "SELECT s.product_id, count(*) AS n FROM sales_daily s LEFT JOIN products p ON p.product_id = s.product_id WHERE p.product_id IS NULL GROUP BY s.product_id",
     "region_category_rollup": f"SELECT st.region, p.category, CAST(sum(s.units_sold) AS BIGINT) AS units, {rnd('sum(s.revenue)', 2)} AS revenue FROM sales_daily s JOIN stores st ON st.store_id = s.store_id JOIN products p ON p.product_id = s.product_id GROUP BY GROUPING SETS ((), (st.region), (p.category))",
 }
@@ -60,14 +80,10 @@ def retail_tables(spark: SparkSession, sf_dir: str, coarse: bool = False) -> dic
 
 
 def _all(column: str):
-    from pyspark.sql import Window
-
     return Window.orderBy(column)  # over one row a store or product
 
 
 def densify_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import series
-
     tables = retail_tables(spark, sf_dir, coarse=True)
     return series.densify(tables["sales_daily"], dt.date(1996, 6, 30))
 
@@ -89,5 +105,31 @@ def budget_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig(order_budget=50_000.0)).orders
 
 
+def _forecast(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Forecasts of one model for all coarse series that are candidates for it."""
+    tables = retail_tables(spark, sf_dir, coarse=True)
+    return forecast_run.frames(tables, forecast_run.RunConfig(models=(name, "seasonal_naive"))).forecasts.filter(F.col("model_name") == name)
+
+
+def simulate_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of a small generated dataset; needs no input tables."""
+    config = simulate.SimConfig(3, 8, dt.date(2024, 1, 1), 120, 7)
+    return simulate.draw(spark, config).select("store_id", "product_id", "day", "units_sold", "stockout_flag")
+
+
+def cell_policy_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product names and hostile cells under the safe policy."""
+    rows = spark.sql("SELECT * FROM VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('BLR'), ('') AS v(cell)")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("cell"))
+    return rows.unionByName(parts).select("cell", cells.safe(F.col("cell")).alias("safe_cell"))
+
+
+CELL_SQL = r"""
+SELECT cell, CASE WHEN regexp_matches(cell, '^[\t\r\n]|^[\p{Cc}\p{Cf}\p{Z}]*[=+\-@]') THEN chr(39) || cell ELSE cell END AS safe_cell
+FROM (SELECT * FROM (VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('BLR'), ('')) v(cell) UNION ALL SELECT p_name FROM part) t"""
+
+
 def functions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"densify_series": densify_series, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation}
+    return {"densify_series": densify_series, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation, "simulate_sales": simulate_sales, "cell_policy_safe": cell_policy_safe} | {
+        f"fc_{m}": partial(_forecast, name=m) for m in ("moving_average", "theta", "croston_sba", "holt_winters", "promo_theta")
+    }

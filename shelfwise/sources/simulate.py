@@ -58,6 +58,12 @@ def item_factor(draw: np.random.Generator) -> float:
     return float(draw.uniform(0.7, 1.3))
 
 
+def draw(spark: SparkSession, config: SimConfig):
+    """store_id, product_id, day, units_sold, stockout_flag and stock at the end, drawn series by series."""
+    grid = spark.range(config.stores * config.products).select((F.floor(F.col("id") / config.products) + 1).alias("store_id"), (F.col("id") % config.products + 1).alias("product_id"))
+    return grid.mapInPandas(_demand(config), "store_id long, product_id long, day date, units_sold long, stockout_flag int, on_hand long")
+
+
 def generate(store: TableStore, config: SimConfig = SimConfig()) -> None:
     """Writes stores, products, calendar, promotions, sales and snapshots. Equal configurations give equal tables."""
     spark: SparkSession = store.spark
@@ -79,8 +85,7 @@ def generate(store: TableStore, config: SimConfig = SimConfig()) -> None:
                 n += 1
                 promos.append((n, p, None, config.start + dt.timedelta(d), config.start + dt.timedelta(d + 6), 0.2))
     store.overwrite("promotions", spark.createDataFrame(promos, store.schema("promotions")))
-    grid = spark.range(config.stores * config.products).select((F.col("id") / config.products).cast("long").alias("s"), (F.col("id") % config.products + 1).alias("product_id")).select((F.col("s") + 1).alias("store_id"), "product_id")
-    drawn = grid.mapInPandas(_demand(config), "store_id long, product_id long, day date, units_sold long, stockout_flag int, on_hand long")
+    drawn = draw(spark, config)
     price = spark.createDataFrame([(r[0], r[5]) for r in products], "product_id long, unit_price double")
     store.overwrite("sales_daily", drawn.join(F.broadcast(price), "product_id").withColumn("revenue", F.round(F.col("units_sold") * F.col("unit_price"), 2)))
     store.overwrite("inventory_snapshots", drawn.filter(F.col("day") == F.lit(end)).select("store_id", "product_id", F.col("day").alias("snapshot_day"), "on_hand", F.lit(0).alias("on_order")))
