@@ -60,7 +60,7 @@ FROM forecasts f JOIN products p ON p.product_id = f.product_id JOIN forecast_ru
     "positions": """SELECT n.*, i.on_hand, i.on_order, i.on_hand + i.on_order AS held, 164e-2 * sqrt(CAST(n.lead + 7 AS DOUBLE)) AS safety FROM needs n
 JOIN (SELECT r.run_id, s.store_id, s.product_id, s.on_hand, s.on_order, row_number() OVER (PARTITION BY r.run_id, s.store_id, s.product_id ORDER BY s.snapshot_day DESC) AS rn
   FROM inventory_snapshots s JOIN forecast_runs r ON s.snapshot_day <= r.cutoff_day) i ON i.run_id = n.run_id AND i.store_id = n.store_id AND i.product_id = n.product_id AND i.rn = 1""",
-    "replenishment_orders": """SELECT row_number() OVER (ORDER BY run_id, store_id, product_id) AS order_id, run_id, store_id, product_id, {days_after|cutoff_day|1} AS order_day, {days_after|cutoff_day|1 + lead} AS expected_arrival, on_hand, on_order,
+    "replenishment_orders": """SELECT CAST(row_number() OVER (ORDER BY run_id, store_id, product_id) AS BIGINT) AS order_id, run_id, store_id, product_id, {days_after|cutoff_day|1} AS order_day, {days_after|cutoff_day|1 + lead} AS expected_arrival, on_hand, on_order,
   ltd AS lead_time_demand, safety AS safety_stock, ltd + safety AS reorder_point, mu + safety AS order_up_to,
   CASE WHEN held < ltd + safety THEN CAST(ceil((mu + safety - held) / pack) AS BIGINT) * pack ELSE CAST(0 AS BIGINT) END AS order_qty,
   CASE WHEN held < ltd + safety THEN CAST(ceil((mu + safety - held) / pack) AS BIGINT) * pack ELSE CAST(0 AS BIGINT) END AS requested_qty,
