@@ -24,7 +24,6 @@ QUERIES: dict[str, str] = {
     "backtest_coverage": f"SELECT run_id, {rnd('avg(CASE WHEN abs(y - naive) <= 5 THEN 1e0 ELSE 0e0 END)', 6)} AS coverage FROM folds GROUP BY run_id",
     "policy_reorder": f"SELECT run_id, store_id, product_id, {rnd('lead_time_demand', 6)} AS lead_time_demand, {rnd('safety_stock', 6)} AS safety_stock, {rnd('reorder_point', 6)} AS reorder_point, {rnd('order_up_to', 6)} AS order_up_to, order_qty, reason FROM replenishment_orders",
     "policy_pack_rounding": "SELECT o.run_id, count(*) AS n, CAST(sum(CASE WHEN o.order_qty % p.case_pack = 0 THEN 0 ELSE 1 END) AS BIGINT) AS broken FROM replenishment_orders o JOIN products p ON p.product_id = o.product_id GROUP BY o.run_id",
-    "evaluate_run": "SELECT run_id, store_id, product_id, model_name, n_days, mae, wape, bias, coverage, abs_error_sum, actual_sum, stockout_days FROM forecast_evaluations",
     "abc_as_of_cutoff": """
 WITH sold AS (SELECT r.run_id, s.product_id, CAST(sum(s.revenue) AS DECIMAL(30, 4)) AS revenue FROM sales_daily s JOIN forecast_runs r ON s.day <= r.cutoff_day AND s.day > {days_before|r.cutoff_day|90} GROUP BY r.run_id, s.product_id),
 shares AS (SELECT run_id, product_id, CAST(sum(revenue) OVER (PARTITION BY run_id ORDER BY revenue DESC, product_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(CAST(sum(revenue) OVER (PARTITION BY run_id) AS DOUBLE), 0) AS share FROM sold)
@@ -39,6 +38,40 @@ SELECT product_id, CASE WHEN n < 7 OR m = 0 OR b <= 0 THEN 1e0 ELSE {rnd("least(
     "fc_moving_average_level": "SELECT DISTINCT run_id, store_id, product_id, total / 28e0 AS level FROM folds",
     "residual_std": f"SELECT run_id, {rnd('sqrt((CAST(sum(CAST((y - naive) * (y - naive) AS BIGINT)) AS DOUBLE) - CAST(sum(y - naive) AS DOUBLE) * CAST(sum(y - naive) AS DOUBLE) / count(*)) / (count(*) - 1))', 6)} AS sigma FROM folds GROUP BY run_id",
     "interval_apply": "SELECT run_id, store_id, product_id, target_day, greatest(0e0, yhat - 2e0 * (1 + 1e-2 * (h - 1))) AS lower, yhat + 3e0 * (1 + 1e-2 * (h - 1)) AS upper FROM forecasts",
+    "interval_empirical": f"""
+WITH errors AS (SELECT run_id, store_id, h, CAST(y - naive AS DOUBLE) AS e FROM folds),
+spread AS (
+  SELECT run_id, store_id, count(*) AS n, {{quantile|e|0.1}} AS low, {{quantile|e|0.9}} AS high, CAST(sum(CASE WHEN h <= 7 THEN abs(e) ELSE 0e0 END) AS DOUBLE) AS near, CAST(sum(CASE WHEN h > 7 THEN abs(e) ELSE 0e0 END) AS DOUBLE) AS far
+  FROM errors GROUP BY run_id, store_id)
+SELECT run_id, store_id, {rnd("least(0e0, low)", 6)} AS low, {rnd("greatest(0e0, high)", 6)} AS high,
+  CASE WHEN n < 20 OR near = 0 THEN 0e0 ELSE {rnd("least(greatest((far / nullif(near, 0) - 1) / 7, 0e0), 3e-2)", 6)} END AS growth FROM spread""",
+    "interval_normal": f"""
+WITH spread AS (
+  SELECT run_id, store_id, count(*) AS n, CAST(sum((y - naive) * (y - naive)) AS DOUBLE) AS squares, CAST(sum(y - naive) AS DOUBLE) AS total FROM folds GROUP BY run_id, store_id),
+widths AS (SELECT run_id, store_id, 12815515655446004e-16 * sqrt(greatest(0e0, squares - total * total / n) / nullif(n - 1, 0)) AS width FROM spread)
+SELECT f.run_id, f.store_id, f.product_id, f.target_day, {rnd("greatest(0e0, f.yhat - w.width)", 6)} AS lower, {rnd("f.yhat + w.width", 6)} AS upper
+FROM forecasts f JOIN widths w ON w.run_id = f.run_id AND w.store_id = f.store_id""",
+    "promo_deflate": f"""
+WITH marked AS (
+  SELECT s.store_id, s.product_id, s.day, s.units_sold, CASE WHEN EXISTS (SELECT 1 FROM promotions p WHERE p.product_id = s.product_id AND s.day BETWEEN p.start_day AND p.end_day AND (p.store_id IS NULL OR p.store_id = s.store_id)) THEN 1 ELSE 0 END AS on_promo FROM sales_daily s),
+sums AS (SELECT product_id, CAST(sum(on_promo) AS BIGINT) AS n, count(*) - CAST(sum(on_promo) AS BIGINT) AS m, CAST(sum(on_promo * units_sold) AS DOUBLE) AS a, CAST(sum((1 - on_promo) * units_sold) AS DOUBLE) AS b FROM marked GROUP BY product_id),
+lifts AS (SELECT product_id, CASE WHEN n < 7 OR m = 0 OR b <= 0 THEN 1e0 ELSE least(greatest(1 + ((a / nullif(n, 0)) / (b / nullif(m, 0)) - 1) * n / (n + 7), 1e0), 5e0) END AS lift FROM sums)
+SELECT k.store_id, k.product_id, k.day, k.on_promo, {rnd("CASE WHEN k.on_promo = 1 THEN k.units_sold / l.lift ELSE CAST(k.units_sold AS DOUBLE) END", 6)} AS base_units
+FROM marked k JOIN lifts l ON l.product_id = k.product_id""",
+    "policy_shelf_life": """
+WITH sells AS (
+  SELECT f.run_id, f.store_id, f.product_id, sum(CASE WHEN f.h <= p.shelf_life_days THEN f.yhat ELSE 0e0 END) AS units FROM forecasts f JOIN products p ON p.product_id = f.product_id
+  WHERE p.shelf_life_days IS NOT NULL GROUP BY f.run_id, f.store_id, f.product_id),
+capped AS (
+  SELECT o.run_id, o.store_id, o.product_id, o.requested_qty, o.reason, p.shelf_life_days,
+    CASE WHEN s.units IS NULL THEN o.requested_qty ELSE least(o.requested_qty, CAST(ceil(greatest(0e0, floor(s.units + 1e-9) - (o.on_hand + o.on_order)) / p.case_pack) AS BIGINT) * p.case_pack) END AS order_qty
+  FROM replenishment_orders o JOIN products p ON p.product_id = o.product_id LEFT JOIN sells s ON s.run_id = o.run_id AND s.store_id = o.store_id AND s.product_id = o.product_id)
+SELECT run_id, store_id, product_id, shelf_life_days, requested_qty, order_qty, CASE WHEN order_qty < requested_qty THEN reason || '; capped by shelf life' ELSE reason END AS reason FROM capped""",
+    "runs_compared": """
+WITH placed AS (SELECT run_id, CAST(sum(CASE WHEN order_qty > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_orders, CAST(sum(order_qty) AS BIGINT) AS units FROM replenishment_orders GROUP BY run_id)
+SELECT r.run_id, p.n_orders, p.units, p.n_orders - lag(p.n_orders) OVER (ORDER BY r.run_id) AS orders_delta FROM forecast_runs r JOIN placed p ON p.run_id = r.run_id WHERE r.status = 'succeeded'""",
+    "error_by_step": f"SELECT run_id, h, count(*) AS n, {rnd('avg(abs(y - naive))', 6)} AS mae, {rnd('avg(naive - y)', 6)} AS bias, {rnd('CAST(sum(abs(y - naive)) AS DOUBLE) / nullif(CAST(sum(abs(y)) AS DOUBLE), 0)', 6)} AS wape FROM folds GROUP BY run_id, h",
+    "intermittent_series": "SELECT run_id, store_id, product_id, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_days, count(*) AS n_days, CASE WHEN 2 * sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) >= count(*) THEN 1 ELSE 0 END AS intermittent FROM folds GROUP BY run_id, store_id, product_id",
     "upsert_merge": """
 WITH incoming AS (SELECT store_id, product_id, snapshot_day, on_hand + 1 AS on_hand, on_order FROM inventory_snapshots WHERE store_id % 2 = 0),
 kept AS (SELECT o.* FROM inventory_snapshots o LEFT JOIN incoming i ON i.store_id = o.store_id AND i.product_id = o.product_id AND i.snapshot_day = o.snapshot_day WHERE i.store_id IS NULL)
@@ -88,6 +121,33 @@ def densify_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.densify(tables["sales_daily"], dt.date(1996, 6, 30))
 
 
+def promo_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every store, product and day of a promotion, once."""
+    tables = retail_tables(spark, sf_dir)
+    return series.promo_days(tables["promotions"], tables["stores"])
+
+
+def evaluate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations of both runs by the operator that evaluates a store's runs."""
+    tables = retail_tables(spark, sf_dir)
+    forecasts = spark.sql(warehouse.with_tables("SELECT * FROM forecasts", "spark"))
+    columns = "run_id store_id product_id model_name n_days mae wape bias coverage abs_error_sum actual_sum stockout_days".split()
+    return forecast_run.evaluate(forecasts, tables["sales_daily"]).select(*columns)
+
+
+def inventory_at_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of operator at the backdated run's cutoff."""
+    tables = retail_tables(spark, sf_dir)
+    cutoff = series.resolve_cutoff(tables["sales_daily"], None) - dt.timedelta(28)
+    return series.inventory_as_of(tables["inventory_snapshots"], cutoff)
+
+
+def abc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class operator at the last day."""
+    tables = retail_tables(spark, sf_dir)
+    return series.abc_as_of(tables["sales_daily"], series.resolve_cutoff(tables["sales_daily"], None))
+
+
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a whole run over the coarse series."""
     return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig()).orders
@@ -129,7 +189,31 @@ SELECT cell, CASE WHEN regexp_matches(cell, '^[\t\r\n]|^[\p{Cc}\p{Cf}\p{Z}]*[=+\
 FROM (SELECT * FROM (VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('BLR'), ('')) v(cell) UNION ALL SELECT p_name FROM part) t"""
 
 
+#: SQL twins of queries that go through DataFrame operators; DuckDB only.
+FUNCTION_SQL: dict[str, str] = {
+    "densify_series": """
+WITH by_store AS (SELECT store_id, dense_rank() OVER (ORDER BY region) AS s FROM stores), by_product AS (SELECT product_id, dense_rank() OVER (ORDER BY category) AS p FROM products),
+coarse AS (
+  SELECT b.s AS store_id, c.p AS product_id, d.day, CAST(sum(d.units_sold) AS BIGINT) AS units FROM sales_daily d JOIN by_store b ON b.store_id = d.store_id JOIN by_product c ON c.product_id = d.product_id
+  WHERE d.day <= DATE '1996-06-30' GROUP BY 1, 2, 3),
+axis AS (SELECT store_id, product_id, CAST(unnest(generate_series(min(day), DATE '1996-06-30', INTERVAL 1 DAY)) AS DATE) AS day FROM coarse GROUP BY store_id, product_id)
+SELECT a.store_id, a.product_id, a.day, coalesce(c.units, 0) AS units FROM axis a LEFT JOIN coarse c ON c.store_id = a.store_id AND c.product_id = a.product_id AND c.day = a.day""",
+    "promo_flags": """
+WITH whole AS (SELECT s.store_id, p.product_id, p.start_day, p.end_day FROM promotions p JOIN stores s ON p.store_id IS NULL OR p.store_id = s.store_id)
+SELECT DISTINCT store_id, product_id, CAST(unnest(generate_series(start_day, end_day, INTERVAL 1 DAY)) AS DATE) AS day FROM whole""",
+    "evaluate_run": "SELECT run_id, store_id, product_id, model_name, n_days, mae, wape, bias, coverage, abs_error_sum, actual_sum, stockout_days FROM forecast_evaluations",
+    "inventory_at_cutoff": """
+SELECT store_id, product_id, on_hand, on_order FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY snapshot_day DESC) AS rn FROM inventory_snapshots
+  WHERE snapshot_day <= (SELECT max(day) - 28 FROM sales_daily)) s WHERE rn = 1""",
+    "abc_classes": """
+WITH sold AS (SELECT product_id, sum(revenue) AS revenue FROM sales_daily WHERE day > (SELECT max(day) - 90 FROM sales_daily) GROUP BY product_id),
+shares AS (SELECT product_id, CAST(sum(revenue) OVER (ORDER BY revenue DESC, product_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(CAST(sum(revenue) OVER () AS DOUBLE), 0) AS share FROM sold)
+SELECT product_id, CASE WHEN share <= 7e-1 THEN 'A' WHEN share <= 9e-1 THEN 'B' ELSE 'C' END AS abc_class FROM shares""",
+    "cell_policy_safe": CELL_SQL,
+}
+
+
 def functions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"densify_series": densify_series, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation, "simulate_sales": simulate_sales, "cell_policy_safe": cell_policy_safe} | {
+    return {"densify_series": densify_series, "promo_flags": promo_flags, "evaluate_run": evaluate_run, "inventory_at_cutoff": inventory_at_cutoff, "abc_classes": abc_classes, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation, "simulate_sales": simulate_sales, "cell_policy_safe": cell_policy_safe} | {
         f"fc_{m}": partial(_forecast, name=m) for m in ("moving_average", "theta", "croston_sba", "holt_winters", "promo_theta")
     }

@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: warehouse.with_tables(bound(text("duckdb"), name), "duckdb") for name, text in _texts().items()} | {"cell_policy_safe": extra.CELL_SQL}
+    return {name: warehouse.with_tables(bound(text("duckdb"), name), "duckdb") for name, text in _texts().items()} | {name: warehouse.with_tables(sql, "duckdb") for name, sql in extra.FUNCTION_SQL.items()}
