@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import cells
 from ..operators import series
-from ..sources import simulate, warehouse
+from ..sources import ingest, simulate, warehouse
 from . import forecast_run
 from .named import dialect_text, rnd
 
@@ -148,6 +148,25 @@ def abc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.abc_as_of(tables["sales_daily"], series.resolve_cutoff(tables["sales_daily"], None))
 
 
+def ingest_reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the load of sales refuses, with reasons: sales as text cells, some of them spoilt by rule, some sent twice."""
+    tables = retail_tables(spark, sf_dir)
+    key = F.col("product_id")
+    spoilt = lambda n, cell, fine: F.when(key % n == 0, F.lit(cell)).otherwise(fine.cast("string"))
+    row = (F.col("store_id") * 100_000 + key) * 10_000 + F.datediff("day", F.lit(dt.date(1990, 1, 1)))
+    sales = tables["sales_daily"].withColumn("row", row)
+    sent = sales.unionByName(sales.filter(key % 50 == 0).withColumn("row", F.col("row") + 5_000))
+    store = F.when(key % 43 == 0, F.lit("x1")).otherwise(spoilt(41, "99", F.col("store_id")))
+    cells_ = sent.select("row", store.alias("store_id"), key.cast("string").alias("product_id"), spoilt(29, "01/02/1995", F.col("day")).alias("day"), spoilt(37, "-1", F.col("units_sold")).alias("units_sold"), F.lit(None).cast("string").alias("revenue"), spoilt(31, "2", F.col("stockout_flag")).alias("stockout_flag"))
+    return ingest.validated(cells_, "sales_daily", tables).filter("reason IS NOT NULL").select("row", "product_id", "reason")
+
+
+def calendar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load fills in for a day of the calendar."""
+    days = retail_tables(spark, sf_dir)["sales_daily"].select("day").distinct()
+    return days.select("day", *(c.cast("long").alias(n) for n, c in ingest.calendar_fields(F.col("day")).items()))
+
+
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a whole run over the coarse series."""
     return forecast_run.frames(retail_tables(spark, sf_dir, coarse=True), forecast_run.RunConfig()).orders
@@ -201,6 +220,17 @@ SELECT a.store_id, a.product_id, a.day, coalesce(c.units, 0) AS units FROM axis
     "promo_flags": """
 WITH whole AS (SELECT s.store_id, p.product_id, p.start_day, p.end_day FROM promotions p JOIN stores s ON p.store_id IS NULL OR p.store_id = s.store_id)
 SELECT DISTINCT store_id, product_id, CAST(unnest(generate_series(start_day, end_day, INTERVAL 1 DAY)) AS DATE) AS day FROM whole""",
+    "ingest_reject_report": """
+WITH numbered AS (SELECT (store_id * 100000 + product_id) * 10000 + (day - DATE '1990-01-01') AS row_no, store_id, product_id, day FROM sales_daily),
+sent AS (SELECT *, row_no AS first_row FROM numbered UNION ALL SELECT row_no + 5000, store_id, product_id, day, row_no FROM numbered WHERE product_id % 50 = 0),
+checked AS (
+  SELECT CAST(row_no AS BIGINT) AS "row", product_id, CASE WHEN product_id % 43 = 0 THEN 'store_id must be an integer (got ''x1'')' WHEN product_id % 41 = 0 THEN 'unknown store_id 99'
+    WHEN product_id % 29 = 0 THEN 'day must be an ISO date YYYY-MM-DD (got ''01/02/1995'')' WHEN product_id % 37 = 0 THEN 'units_sold must be >= 0 (got -1)' WHEN product_id % 31 = 0 THEN 'stockout_flag must be 0 or 1 (got ''2'')'
+    WHEN row_no > first_row THEN 'duplicate key (store_id=' || store_id || ', product_id=' || product_id || ', day=' || day || ') first seen at row ' || first_row END AS reason FROM sent)
+SELECT "row", product_id, reason FROM checked WHERE reason IS NOT NULL""",
+    "calendar_fields": """
+SELECT day, CAST(isodow(day) - 1 AS BIGINT) AS day_of_week, CAST(weekofyear(day) AS BIGINT) AS week_of_year, CAST(month(day) AS BIGINT) AS month, CAST(year(day) AS BIGINT) AS year, CAST(isodow(day) >= 6 AS BIGINT) AS is_weekend
+FROM (SELECT DISTINCT day FROM sales_daily) d""",
     "evaluate_run": "SELECT run_id, store_id, product_id, model_name, n_days, mae, wape, bias, coverage, abs_error_sum, actual_sum, stockout_days FROM forecast_evaluations",
     "inventory_at_cutoff": """
 SELECT store_id, product_id, on_hand, on_order FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY snapshot_day DESC) AS rn FROM inventory_snapshots
@@ -214,6 +244,6 @@ SELECT product_id, CASE WHEN share <= 7e-1 THEN 'A' WHEN share <= 9e-1 THEN 'B'
 
 
 def functions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"densify_series": densify_series, "promo_flags": promo_flags, "evaluate_run": evaluate_run, "inventory_at_cutoff": inventory_at_cutoff, "abc_classes": abc_classes, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation, "simulate_sales": simulate_sales, "cell_policy_safe": cell_policy_safe} | {
+    return {"densify_series": densify_series, "promo_flags": promo_flags, "ingest_reject_report": ingest_reject_report, "calendar_fields": calendar_fields, "evaluate_run": evaluate_run, "inventory_at_cutoff": inventory_at_cutoff, "abc_classes": abc_classes, "full_run": full_run, "full_run_forecasts": full_run_forecasts, "full_run_metrics": full_run_metrics, "budget_allocation": budget_allocation, "simulate_sales": simulate_sales, "cell_policy_safe": cell_policy_safe} | {
         f"fc_{m}": partial(_forecast, name=m) for m in ("moving_average", "theta", "croston_sba", "holt_winters", "promo_theta")
     }
