@@ -107,7 +107,9 @@ def retail_tables(spark: SparkSession, sf_dir: str, coarse: bool = False) -> dic
     key = [F.col("s").alias("store_id"), F.col("p").alias("product_id")]
     sales = moved(tables["sales_daily"]).groupBy(*key, "day").agg(F.sum("units_sold").alias("units_sold"), F.sum("revenue").alias("revenue"), F.max("stockout_flag").alias("stockout_flag"))
     stock = moved(tables["inventory_snapshots"]).groupBy(*key, "snapshot_day").agg(F.sum("on_hand").alias("on_hand"), F.sum("on_order").alias("on_order"))
-    promos = tables["promotions"].filter("promo_id % 10 = 0").join(F.broadcast(by_product), "product_id").select("promo_id", F.col("p").alias("product_id"), F.lit(None).cast("long").alias("store_id"), "start_day", "end_day", "discount_pct")
+    # a null store is all stores; any other becomes its coarse store
+    placed = tables["promotions"].join(F.broadcast(by_product), "product_id").join(F.broadcast(by_store), "store_id", "left").filter("store_id IS NULL OR s IS NOT NULL")
+    promos = placed.select("promo_id", F.col("p").alias("product_id"), F.col("s").alias("store_id"), "start_day", "end_day", "discount_pct")
     products = tables["products"].join(F.broadcast(by_product), "product_id").groupBy(F.col("p").alias("product_id")).agg(F.min("unit_cost").alias("unit_cost"), F.min("case_pack").alias("case_pack"), F.max("lead_time_days").alias("lead_time_days"), F.max("shelf_life_days").alias("shelf_life_days"))
     return {"stores": by_store.select(F.col("s").alias("store_id")).distinct(), "products": products, "sales_daily": sales, "promotions": promos, "inventory_snapshots": stock}
 
