@@ -120,7 +120,7 @@ def _all(column: str):
 
 def densify_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = retail_tables(spark, sf_dir, coarse=True)
-    return series.densify(tables["sales_daily"], dt.date(1996, 6, 30))
+    return series.densify(tables["sales_daily"], series.resolve_cutoff(tables["sales_daily"], None))
 
 
 def promo_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
