@@ -70,15 +70,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return pick.select("source", "rank", "weight", "source_size", "n_docs", F.when(F.col("k") < F.col("pick.k"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def running(rows: DataFrame, value: str, slices: int) -> DataFrame:
-    """Adds `before`: the sum of `value` over the rows of the same source that stand earlier in hash order."""
+def running(rows: DataFrame, slices: int, **totals: str) -> DataFrame:
+    """Adds a column for each of `totals`: the sum of the named one over the rows of the same source that stand earlier in hash order."""
     cut = rows.withColumn("slice", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * slices / F.lit(1 << 32)).cast("int"))
-    sums = cut.groupBy("source", "slice").agg(F.sum(value).alias("in_slice"))
-    start = sums.select("source", "slice", F.coalesce(F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("slice_before"))
+    sums = cut.groupBy("source", "slice").agg(*(F.sum(value).alias(f"in_{name}") for name, value in totals.items()))
+    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select("source", "slice", *(F.coalesce(F.sum(f"in_{name}").over(earlier), F.lit(0)).alias(f"to_{name}") for name in totals))
     inside = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    cut = cut.select("*", *(F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(f"in_{name}") for name, value in totals.items()))
     joined = cut.alias("c").join(start.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.slice") == F.col("s.slice")))
-    return joined.select("c.*", (F.col("inside") + F.col("slice_before")).alias("before")).drop("slice", "inside")
+    return joined.select("c.*", *((F.col(f"c.in_{name}") + F.col(f"s.to_{name}")).alias(name) for name in totals)).drop("slice", *(f"in_{name}" for name in totals))
 
 
 def invert_demand(share: Column, rank: Column, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> Column:
@@ -123,17 +124,26 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SC
         open_rows = state.withColumn("open", F.when(F.col("extra"), F.lit(0)).otherwise(F.col("size")))
         with_need = open_rows.alias("o").join(F.broadcast(need).alias("n") if _bounded(need) else need.alias("n"), F.col("o.source").eqNullSafe(F.col("n.source"))).select("o.*", "n.rest")
         fits = with_need.withColumn("open", F.when(F.col("open") <= F.col("rest"), F.col("open")).otherwise(F.lit(0)))
-        summed = running(fits, "open", slices)
+        summed = running(fits, slices, before="open")
         new = ~F.col("extra") & (F.col("size") > 0) & (F.col("open") == F.col("size")) & (F.col("before") + F.col("open") <= F.col("rest"))
         state = materialise(summed.select("doc_id", "source", "size", "place", (F.col("extra") | new).alias("extra"), F.when(new, F.col("before")).otherwise(F.col("at")).alias("at")), "mix-taken")
         used = state.filter("extra").groupBy("source").agg(F.sum("size").alias("used"))
         need = plan.alias("p").join(used.alias("u"), F.col("p.source").eqNullSafe(F.col("u.source")), "left").select("p.source", (F.col("p.rest") - F.coalesce("u.used", F.lit(0))).alias("rest"))
-    summed = running(state, "size", slices)
-    joined = summed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    taken = plan.alias("p").join(need.alias("n"), F.col("p.source").eqNullSafe(F.col("n.source"))).select("p.*", (F.col("whole") * F.col("source_size") + F.col("p.rest") - F.col("n.rest")).alias("source_taken"))
+    taken = materialise(taken, "mix-totals")
+    summed = running(state.withColumn("more", F.when(F.col("extra"), F.col("size")).otherwise(F.lit(0))), slices, before="size", extra_before="more")
+    joined = summed.alias("d").join((F.broadcast(taken) if _bounded(taken) else taken).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     epochs = (F.col("whole") + F.col("extra").cast("long")).alias("epochs")
-    share = F.least(F.lit(1.0), F.col("before") / F.greatest(F.col("source_size"), F.lit(1)) / F.greatest(F.lit(1.0), F.col("whole") + F.lit(0.0)))
-    first = F.when((F.col("whole") + F.col("extra").cast("long")) > 0, invert_demand(share, F.col("rank"), schedules))
-    return joined.select("d.doc_id", "d.source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs, first.alias("first_position"), "rank", "whole", "extra", "before")
+    first = F.when((F.col("whole") + F.col("extra").cast("long")) > 0, invert_demand(_share(F.lit(0)), F.col("rank"), schedules))
+    return joined.select(
+        "d.doc_id", "d.source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs, first.alias("first_position"), "rank", "whole", "extra", "before", "extra_before", "source_taken"
+    )
+
+
+def _share(epoch: Column) -> Column:
+    """The share of a source's taken words that stand before a copy: whole passes come first, the extra copies after them."""
+    words = F.when(epoch < F.col("whole"), epoch * F.col("source_size") + F.col("before")).otherwise(F.col("whole") * F.col("source_size") + F.col("extra_before"))
+    return F.least(F.lit(1.0), words / F.greatest(F.col("source_taken"), F.lit(1)))
 
 
 def _bounded(table: DataFrame, rows: int = 100_000) -> bool:
@@ -144,12 +154,10 @@ def _bounded(table: DataFrame, rows: int = 100_000) -> bool:
 def curriculum(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
     """One row a copy, range-sorted by training position: doc_id, epoch, position and the columns of `mixed`.
 
-    The copies of a source fill its demand pass by pass: pass k's documents lie at (k + their place) / passes.
+    The copies of a source fill its demand pass by pass: each lies at the share of the source's taken words before it.
     """
-    passes = F.greatest(F.lit(1.0), F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    share = F.least(F.lit(1.0), (F.col("epoch") + F.col("before") / F.greatest(F.col("source_size"), F.lit(1))) / passes)
     copies = mixed.filter(F.col("epochs") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    placed = copies.withColumn("position", invert_demand(share, F.col("rank"), schedules))
+    placed = copies.withColumn("position", invert_demand(_share(F.col("epoch")), F.col("rank"), schedules))
     return placed.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "epoch")
 
 

@@ -77,6 +77,25 @@ def test_demand_is_inverted(spark):
         assert np.interp(r["t"], t, done / done[-1]) == pytest.approx(r["u"], abs=1e-6)
 
 
+def test_copies_fill_the_whole_demand(spark):
+    pick = random.Random(2)
+    name = lambda i: "a" if i % 10 < 5 else "b" if i % 10 < 7 else "c"
+    rows = [(i, " ".join(["w"] * pick.randint(1, 40)), name(i)) for i in range(1500)]
+    got = mixing.curriculum(mixing.mix(docs(spark, rows))).collect()
+    partial = {r["source"] for r in got if r["target"] < r["source_size"]}
+    assert partial
+    for source in {r["source"] for r in got}:
+        copies = sorted((r for r in got if r["source"] == source), key=lambda r: (r["position"], r["epoch"]))
+        knots = mixing.SCHEDULES[copies[0]["rank"] % 3]
+        t = np.linspace(0, 1, 20001)
+        w = np.interp(t, [a for a, _ in knots], [b for _, b in knots])
+        done = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        total, before = sum(r["size"] for r in copies), 0
+        for r in copies:
+            assert np.interp(r["position"], t, done / done[-1]) == pytest.approx(before / total, abs=1e-5)
+            before += r["size"]
+
+
 def test_differencing_keeps_sums_and_is_tight():
     pick = np.random.default_rng(3)
     for n, k in ((1, 4), (5, 2), (50, 3), (500, 24)):
