@@ -161,6 +161,15 @@ def curriculum(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float, float
     return placed.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "epoch")
 
 
+def taken_in(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken and epochs of every document, counted from its placed copies in the curriculum."""
+    mixed = materialise(mix(docs).withColumn("row", F.monotonically_increasing_id()), "mix-plan")
+    copies = materialise(curriculum(mixed), "mix-curriculum").filter(F.col("position").isNotNull())
+    counted = copies.groupBy("row").agg(F.sum("size").alias("placed"), F.count(F.lit(1)).alias("copies"))
+    number = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return mixed.join(counted, "row", "left").select("doc_id", "size", "source_size", "target", number(F.col("placed"), "taken"), number(F.col("copies"), "epochs"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, range-sorted by training position.
 
@@ -175,8 +184,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
+    return taken_in(documents(spark, sf_dir))
 
 
 OP2_SQL = r"""

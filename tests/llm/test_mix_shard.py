@@ -96,6 +96,18 @@ def test_copies_fill_the_whole_demand(spark):
             before += r["size"]
 
 
+def test_op2_counts_the_copies_of_the_curriculum(spark, sf, monkeypatch):
+    whole = mixing.curriculum
+    monkeypatch.setattr(mixing, "curriculum", lambda mixed: whole(mixed).filter("epoch = 0"))
+    assert {r["epochs"] for r in mixing.op2_mixing(spark, sf).collect()} == {0, 1}
+
+
+def test_op2_keeps_equal_rows_apart(spark):
+    rows = [(7, "x y z", "a")] * 5 + [(None, None, None), (8, "", "a"), (8, "", "a"), *((i, "p q", "b") for i in range(20, 40))]
+    want = mixing.mix(docs(spark, rows)).select("doc_id", "size", "taken", "epochs").collect()
+    assert sorted(map(str, mixing.taken_in(docs(spark, rows)).select("doc_id", "size", "taken", "epochs").collect())) == sorted(map(str, want))
+
+
 def test_differencing_keeps_sums_and_is_tight():
     pick = np.random.default_rng(3)
     for n, k in ((1, 4), (5, 2), (50, 3), (500, 24)):
