@@ -1,7 +1,9 @@
 """Secret scans: patterns, and a randomness test battery for what no pattern names.
 
-Candidates are maximal runs of base-64 characters. The encoding of a candidate is inferred from the characters in it, and
-against the hypothesis that it is drawn evenly from that alphabet three tests are made: chi-squared uniformity of the
+Candidates are maximal runs of base-64 characters, of 20 at least. `=` ends a run; at its end, padding is part of the span
+but not of what is tested. A run that fits no encoding as a whole is cut at `-` and `_`, at `+` and `/`, and at all four;
+of the pieces with an encoding, those inside no other are candidates. The encoding of a candidate is inferred from the
+characters in it, and against the hypothesis that it is drawn evenly from that alphabet three tests are made: chi-squared uniformity of the
 alphabet (Wilson-Hilferty), a runs test about the alphabet's middle, and the lag-one serial correlation. Fisher's method
 joins the three p-values. Random strings have even p-values, structured ones (words, names, counters) have tiny ones.
 
@@ -26,7 +28,10 @@ from .common import documents, materialise
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+#: Pieces of a run without an encoding.
+PIECES = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
+RUNS = "array<struct<begin:int,end:int,token:string>>"
 #: Kinds in the order in which they are listed at one start.
 KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN = 12
@@ -157,6 +162,26 @@ def length_band(n: Column) -> Column:
     return F.least(F.floor(F.log2(n.cast("double")) * 2), F.lit(16)).cast("int")
 
 
+def candidates_of(r: Column) -> Column:
+    """The candidates in a run (begin, end, token): the run without its padding, or its widest pieces that have an encoding."""
+    core = F.rtrim(r["token"], F.lit("="))
+    item = lambda begin, end, token: F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"), token.alias("token"))
+
+    def cut(core: Column) -> Column:
+        def by(pattern: str) -> Column:
+            found = F.regexp_extract_all(core, F.lit(pattern), 0)
+            # a piece that ends the run takes the padding into its span
+            ends = lambda p: F.when(p["end"] == F.char_length(core), r["end"]).otherwise(r["begin"] + p["end"])
+            return F.zip_with(_places(core, pattern, found), found, lambda p, t: item(r["begin"] + p["begin"], ends(p), t))
+
+        pieces = F.filter(F.array_distinct(F.concat(*map(by, PIECES))), lambda p: encoding(p["token"]).isNotNull())
+        inside = lambda p, q: (q["begin"] <= p["begin"]) & (p["end"] <= q["end"]) & (F.char_length(q["token"]) > F.char_length(p["token"]))
+        widest = let(pieces, lambda ps: F.filter(ps, lambda p: ~F.exists(ps, lambda q: inside(p, q))))
+        return F.when(encoding(core).isNotNull(), F.array(item(r["begin"], r["end"], core))).otherwise(widest)
+
+    return let(core, cut)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans of the patterns, and the candidates of the battery with stratum and p-value, one row a document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -176,13 +201,13 @@ def scan(docs: DataFrame) -> DataFrame:
         some("assign", _spans(F.filter(assign, lambda s: s["n"] >= MIN_ASSIGN), 0), SPAN).alias("assign"),
         some("access", _spans(_places(F.col("text"), ACCESS, F.col("access")), 1), SPAN).alias("access"),
         some("hex", _spans(_places(F.col("text"), HEX, F.col("hex")), 2), SPAN).alias("hex"),
-        some("run", F.zip_with(_places(F.col("text"), RUN, F.col("run")), F.col("run"), lambda p, t: F.struct(p["begin"].alias("begin"), p["end"].alias("end"), t.alias("token"))), "array<struct<begin:int,end:int,token:string>>").alias("run"),
+        some("run", F.zip_with(_places(F.col("text"), RUN, F.col("run")), F.col("run"), lambda p, t: F.struct(p["begin"].alias("begin"), p["end"].alias("end"), t.alias("token"))), RUNS).alias("run"),
     )
     base = F.array_sort(F.transform(F.concat("assign", "access", "hex"), lambda s: F.struct(s["begin"].alias("begin"), s["kind"].alias("kind"), s["end"].alias("end"))))
     placed = placed.withColumn("base", base)
     # what overlaps a span of the patterns is found already
-    fresh = F.filter("run", lambda r: ~F.exists("base", lambda s: (s["begin"] < r["end"]) & (r["begin"] < s["end"])) & encoding(r["token"]).isNotNull())
-    return placed.select("doc_id", "assign", "access", "hex", "base", F.when(F.size("run") > 0, fresh).otherwise(_none("array<struct<begin:int,end:int,token:string>>")).alias("fresh"))
+    fresh = F.filter(F.flatten(F.transform("run", candidates_of)), lambda r: ~F.exists("base", lambda s: (s["begin"] < r["end"]) & (r["begin"] < s["end"])))
+    return placed.select("doc_id", "assign", "access", "hex", "base", F.when(F.size("run") > 0, fresh).otherwise(_none(RUNS)).alias("fresh"))
 
 
 def judged(scanned: DataFrame) -> DataFrame:

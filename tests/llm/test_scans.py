@@ -46,6 +46,24 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert sum(bool(found[100 + i]) for i in range(60)) <= 6
 
 
+def test_padded_and_joined_keys_are_candidates(spark):
+    import base64
+    import random
+
+    pick = random.Random(6)
+    key = lambda n: base64.b64encode(pick.randbytes(n)).decode()
+    word = "".join(pick.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) + "+a/B1"
+    padded, b32, inner = key(31), base64.b32encode(pick.randbytes(16)).decode(), key(30)
+    rows = [(1, f"key {padded} end", "a"), (2, f"key {b32} end", "a"), (3, f"AWS_KEY={inner} end", "a"), (4, f"sig={padded}&x=1", "a"), (5, f"aws_key-{word} end", "a"), (6, f"{'plain' * 6}={inner}", "a"), (7, "=" * 60, "a")]
+    found = {r["doc_id"]: [(f["begin"], f["end"], f["token"]) for f in r["fresh"]] for r in secrets.scan(docs(spark, rows)).collect()}
+    assert found[1] == [(4, 4 + len(padded), padded.rstrip("="))] and padded.endswith("==")
+    assert found[2] == [(4, 4 + len(b32), b32.rstrip("="))] and b32.endswith("=")
+    assert found[3] == [(8, 8 + len(inner), inner)]
+    assert found[4] == [(4, 4 + len(padded), padded.rstrip("="))]
+    assert (8, 8 + len(word), word) in found[5]
+    assert found[6] == [(31, 31 + len(inner), inner)] and found[7] == []
+
+
 def test_empty_tables(spark):
     empty = docs(spark, [])
     assert secrets.secrets(empty).count() == 0
