@@ -2,12 +2,12 @@
 
 A line is normalised (lower case, digits as one class, white space as single blanks) and hashed. For each host (here: the
 source) the distinct documents that hold a line are counted; copies of a text are one document. A line held by more than
-`LINE_SHARE` of the host's distinct documents, and by more than `LINE_DOCS`, is above the limit and is removed. A document
-is depleted, and rejected, if less than `LEAST_LEFT` of its words are left.
+`LINE_DOCS` of them is above the limit and is removed, whatever the host's size. A document is depleted, and rejected, if
+less than `LEAST_LEFT` of its words are left.
 
 Everything is DataFrame functions. Texts are never shuffled: lines are shuffled as hashes, once for each distinct text of
-a host, with a partial count before. Lines above the limit are few by their definition (a host of n documents with l
-lines each has at most l / LINE_SHARE of them), and are broadcast only if their counted number is small.
+a host, with a partial count before. Lines above the limit are at most one in `LINE_DOCS` of a host's lines, and are
+broadcast only if their counted number is small; else the most frequent of them are, and the others meet by a shuffle.
 
 Defined results: null and empty texts have no words and fail; a null source is a host of its own; repeated rows get equal
 rows; an empty table gives an empty result; other columns are ignored.
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import GAP, documents, materialise
 
-LINE_SHARE = 0.1
-LINE_DOCS = 50
+LINE_DOCS = 6
 LEAST_LEFT = 0.3
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -81,24 +80,30 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(stats: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
+def frequent_lines(stats: DataFrame, least: int = LINE_DOCS) -> DataFrame:
     """host, line and count of the lines above the limit."""
     texts = stats.groupBy("host", "text_key").agg(F.first(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("lines"))
     texts = materialise(texts, "quality-texts")
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-    both = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-    return both.filter(F.col("n") > share * F.col("n_docs")).select("c.host", "line", "n")
+    return texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
 
 
-def judge(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+def held(own: DataFrame, lines: DataFrame, most: int = BROADCAST_LINES) -> DataFrame:
+    """The rows of `own` whose line is above the limit of their host. Beyond `most` lines, the `most` commonest are broadcast."""
+    same = (F.col("o.line") == F.col("t.line")) & F.col("o.host").eqNullSafe(F.col("t.host"))
+    if lines.limit(most + 1).count() <= most:
+        return own.alias("o").join(F.broadcast(lines).alias("t"), same).select("o.*")
+    # n at the place `most` from the top: fewer than `most` lines are above it
+    least = lines.select("n").orderBy(F.desc("n")).limit(most).agg(F.min("n")).first()[0]
+    common, rare = lines.filter(F.col("n") > least), lines.filter(F.col("n") <= least)
+    return own.alias("o").join(F.broadcast(common).alias("t"), same).select("o.*").unionByName(own.alias("o").join(rare.alias("t"), same).select("o.*"))
+
+
+def judge(docs: DataFrame, least: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The base counts of each document, the words that line removal leaves, and the verdict."""
     stats = materialise(statistics(docs), "quality-stats")
-    lines = materialise(frequent_lines(stats, share, least), "quality-lines")
-    small = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    table = F.broadcast(lines) if small else lines
+    lines = materialise(frequent_lines(stats, least), "quality-lines")
     own = stats.select("doc_id", "host", "text_key", F.posexplode("lines").alias("at", "x")).select("doc_id", "host", "text_key", "at", F.col("x.line").alias("line"), F.col("x.n").alias("words"))
-    hit = own.alias("o").join(table.alias("t"), (F.col("o.line") == F.col("t.line")) & F.col("o.host").eqNullSafe(F.col("t.host"))).select("o.*")
+    hit = held(own, lines)
     # equal rows of the input are one key here: a line of theirs counts once
     gone = hit.groupBy("doc_id", "host", "text_key").agg(F.collect_set(F.struct("at", "words")).alias("gone"))
     gone = gone.select("doc_id", "host", "text_key", F.aggregate("gone", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("removed"))

@@ -96,6 +96,22 @@ def test_copies_count_once(spark):
     assert all(r["kept"] for r in quality.judge(docs(spark, rows)).collect())
 
 
+def test_frequent_lines_go_at_any_host_size(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))  # noqa: E731  digits are all alike in a normalised line
+    banner = "shared banner line of the host with many words in it for all\n"
+    rows = [(i, f"{banner}own {name(i)} word", "small") for i in range(8)] + [(100 + i, f"{banner}own {name(i)} word", "large") for i in range(60)]
+    rows += [(1000 + i, " ".join(name(i) + name(k) for k in range(12)), "large") for i in range(1000)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs(spark, rows)).collect()}
+    assert not any(kept[i] for i in [*range(8), *range(100, 160)]) and all(kept[1000 + i] for i in range(1000))
+
+
+def test_rare_frequent_lines_meet_by_a_shuffle(spark):
+    own = spark.createDataFrame([(i, h, n) for i in range(4) for h, n in (("a", 1), ("a", 2), (None, 1), ("b", 9))], "doc_id long, host string, line long")
+    lines = spark.createDataFrame([("a", 1, 50), ("a", 2, 7), (None, 1, 7)], "host string, line long, n long")
+    for most in (1, 2, 3):
+        assert sorted((str(r["host"]), r["line"]) for r in quality.held(own, lines, most).collect()) == [("None", 1)] * 4 + [("a", 1)] * 4 + [("a", 2)] * 4
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     rows = [(21, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "\n ") + "\n", "a"), (22, "Text.\nLicenced under CC BY-NC 4.0\nmore", "a"), (23, mit + " and more", "a"), *ODD[:6]]
