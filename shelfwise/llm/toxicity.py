@@ -10,7 +10,7 @@ documents, of its largest marginal and of the sum of its marginals. Runs of toke
 the offending spans (code points, end exclusive).
 
 Training takes the labelled documents with the least hashes, at most `SAMPLE` toxic and `SAMPLE` others: that bound is
-what keeps the model's cost fixed. Scoring covers whole texts of all documents; words are scored once for each batch.
+what keeps the model's cost fixed. The field is fitted on the whole texts of all of them. Scoring covers whole texts of all documents; words are scored once for each batch.
 
 Defined results: null and empty texts have no tokens and get the score of a document without toxic tokens; with no
 toxic or no clean training document all scores are 0; null labels are not used; a document with several labels counts as
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import documents, unit_bucket
 
 SAMPLE = 1200
-SAMPLE_TOKENS = 400_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: An indicator is so many times likelier in toxic documents, with at least this log-likelihood ratio (G squared).
 LEAST_RATIO, LEAST_G = 5.0, 16.0
@@ -179,10 +178,10 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 25) -> Tagger | None:
             indicator.add(f)
     del copies
     index = {f: i for i, f in enumerate(sorted(indicator))}
-    tokens = [w for d in docs for w in d][:SAMPLE_TOKENS]
+    tokens = [w for d in docs for w in d]
     if not index or not tokens:
         return Tagger({}, -10.0, np.zeros((2, 2)), np.array([np.log(n1 / n0), 0.0, 0.0]))
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[: len(tokens)]
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     cache: dict[str, list[int]] = {}
     lists = [cache[w] if w in cache else cache.setdefault(w, [index[f] for f in features(w) if f in index]) for w in tokens]
     has = np.array([bool(x) for x in lists])

@@ -57,3 +57,10 @@ def test_odd_rows_and_spans(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(spark.createDataFrame(odd, DOCS), none).collect()} == {0.0}
     assert toxicity.score(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_a_long_text_leaves_room_for_the_others():
+    rows = [("word " * 410_000, 0)] + [(f"some text {i} with badword in it and badword", 1) for i in range(60)] + [(f"some text {i} with nothing in it", 0) for i in range(60)]
+    tagger = toxicity.fit(rows)
+    marginal = tagger.marginals([toxicity.words("a text with badword in it")])[0]
+    assert marginal[3] >= 0.5 and tagger.score(marginal) >= 0.5 and tagger.score(tagger.marginals([toxicity.words("a text with nothing in it")])[0]) < 0.5
