@@ -216,8 +216,8 @@ FUNCTION_SQL: dict[str, str] = {
 WITH by_store AS (SELECT store_id, dense_rank() OVER (ORDER BY region) AS s FROM stores), by_product AS (SELECT product_id, dense_rank() OVER (ORDER BY category) AS p FROM products),
 coarse AS (
   SELECT b.s AS store_id, c.p AS product_id, d.day, CAST(sum(d.units_sold) AS BIGINT) AS units FROM sales_daily d JOIN by_store b ON b.store_id = d.store_id JOIN by_product c ON c.product_id = d.product_id
-  WHERE d.day <= DATE '1996-06-30' GROUP BY 1, 2, 3),
-axis AS (SELECT store_id, product_id, CAST(unnest(generate_series(min(day), DATE '1996-06-30', INTERVAL 1 DAY)) AS DATE) AS day FROM coarse GROUP BY store_id, product_id)
+  GROUP BY 1, 2, 3),
+axis AS (SELECT store_id, product_id, CAST(unnest(generate_series(min(day), (SELECT max(day) FROM sales_daily), INTERVAL 1 DAY)) AS DATE) AS day FROM coarse GROUP BY store_id, product_id)
 SELECT a.store_id, a.product_id, a.day, coalesce(c.units, 0) AS units FROM axis a LEFT JOIN coarse c ON c.store_id = a.store_id AND c.product_id = a.product_id AND c.day = a.day""",
     "promo_flags": """
 WITH whole AS (SELECT s.store_id, p.product_id, p.start_day, p.end_day FROM promotions p JOIN stores s ON p.store_id IS NULL OR p.store_id = s.store_id)
