@@ -73,26 +73,42 @@ RESULT = (
 )
 
 
+def histories(batch: pa.RecordBatch, end: dt.date, reach: int) -> tuple[list[np.ndarray], list[np.ndarray | None], list[np.ndarray | None]]:
+    """The daily axis of each packed series of a batch up to `end`, its promotion flags, and those of the `reach` days after.
+
+    Sales are scattered into one array for the whole batch by the offsets of their Arrow list; a series without any
+    promotion in sight has no flags.
+    """
+    days = lambda column: np.asarray(column.cast(pa.date32()).cast(pa.int32()))
+    first, last = days(batch.column(batch.schema.get_field_index("first_day"))), (end - EPOCH).days
+    sold = batch.column(batch.schema.get_field_index("sold"))
+    n = last - first + 1
+    starts = np.cumsum(n) - n
+    offsets = np.asarray(sold.offsets)
+    own = sold.values.slice(offsets[0], offsets[-1] - offsets[0])
+    owner = np.repeat(np.arange(len(n)), np.diff(offsets))
+    flat = np.bincount(starts[owner] + np.asarray(own.field("d")) - first[owner], np.asarray(own.field("u")), minlength=n.sum()).astype(float)
+    past = np.split(flat, starts[1:])
+    flags: list[np.ndarray | None] = []
+    future: list[np.ndarray | None] = []
+    stores, promos = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("store_id", "promos"))
+    for i, offers in enumerate(promos):
+        f = np.zeros(n[i] + reach)
+        for p in offers or ():
+            if p["store_id"] is None or p["store_id"] == stores[i]:
+                f[max(0, p["a"] - first[i]) : max(0, p["b"] - first[i] + 1)] = 1
+        flags.append(f[: n[i]] if f.any() else None)
+        future.append(f[n[i] :] if f.any() else None)
+    return past, flags, future
+
+
 def _kernel(config: RunConfig, cutoff: dt.date, reach: int):
-    end = (cutoff - EPOCH).days
     levels = dict(config.service_levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            past, flags, future = [], [], []
-            for r in rows:
-                first = (r["first_day"] - EPOCH).days
-                y = np.zeros(end - first + 1)
-                for s in r["sold"]:
-                    y[s["d"] - first] += s["u"]
-                f = np.zeros(len(y) + reach)
-                for p in r["promos"] or ():
-                    if p["store_id"] is None or p["store_id"] == r["store_id"]:
-                        f[max(0, p["a"] - first) : max(0, p["b"] - first + 1)] = 1
-                past.append(y)
-                flags.append(f[: len(y)] if f.any() else None)
-                future.append(f[len(y) :] if f.any() else None)
+            past, flags, future = histories(batch, cutoff, reach)
+            rows = batch.select([c for c in batch.schema.names if c not in ("sold", "promos")]).to_pylist()
             names = [backtest.candidates(y, f, config.models) for y, f in zip(past, flags)]
             scores = backtest.backtest(past, flags, names, config.horizon, config.n_folds, config.interval_level, config.interval_method, config.min_train)
             won = [backtest.select(s, config.criterion) if s else None for s in scores]

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import extra, named
+from .plans import extra, named, operated
 from .sources import warehouse
 
 #: Parameters with which the registered queries run.
@@ -33,8 +33,8 @@ def _texts() -> dict[str, Callable[[str], str]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(_run, name=name, text=text) for name, text in _texts().items()}
-    return out | extra.functions()
+    return out | extra.functions() | operated.functions()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: warehouse.with_tables(bound(text("duckdb"), name), "duckdb") for name, text in _texts().items()} | {name: warehouse.with_tables(sql, "duckdb") for name, sql in extra.FUNCTION_SQL.items()}
+    return {name: warehouse.with_tables(bound(text("duckdb"), name), "duckdb") for name, text in _texts().items()} | {name: warehouse.with_tables(sql, "duckdb") for name, sql in (extra.FUNCTION_SQL | operated.TWINS).items()}

@@ -83,8 +83,9 @@ def with_tables(sql: str, dialect: str) -> str:
             words |= set(re.findall(r"\w+", TABLES[name]))
     chain = ",\n".join(f"{n} AS (\n{dialect_text(TABLES[n], dialect)})" for n in order if n in need)
     body = sql.strip()
-    if body.startswith("WITH "):
-        return f"WITH {chain},\n{body[5:]}" if chain else body
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{chain},\n{body[len(head):]}" if chain else body
     return f"WITH {chain}\n{body}" if chain else body
 
 
