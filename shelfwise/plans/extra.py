@@ -96,8 +96,7 @@ def text(name: str, dialect: str) -> str:
 
 def retail_tables(spark: SparkSession, sf_dir: str, coarse: bool = False) -> dict[str, DataFrame]:
     """The retail tables of a star schema; coarse: regions as stores and categories as products, so that series are dense."""
-    warehouse.views(spark, sf_dir)
-    get = lambda name: spark.sql(warehouse.with_tables(f"SELECT * FROM {name}", "spark"))
+    get = lambda name: warehouse.run(spark, sf_dir, f"SELECT * FROM {name}")
     tables = {n: get(n) for n in ("stores", "products", "sales_daily", "promotions", "inventory_snapshots")}
     if not coarse:
         return tables
@@ -132,7 +131,7 @@ def promo_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations of both runs by the operator that evaluates a store's runs."""
     tables = retail_tables(spark, sf_dir)
-    forecasts = spark.sql(warehouse.with_tables("SELECT * FROM forecasts", "spark"))
+    forecasts = warehouse.run(spark, sf_dir, "SELECT * FROM forecasts")
     columns = "run_id store_id product_id model_name n_days mae wape bias coverage abs_error_sum actual_sum stockout_days".split()
     return forecast_run.evaluate(forecasts, tables["sales_daily"]).select(*columns)
 

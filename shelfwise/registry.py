@@ -23,8 +23,7 @@ def bound(sql: str, name: str) -> str:
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str, text: Callable[[str], str]) -> DataFrame:
-    warehouse.views(spark, sf_dir)
-    return spark.sql(warehouse.with_tables(bound(text("spark"), name), "spark"))
+    return warehouse.run(spark, sf_dir, bound(text("spark"), name))
 
 
 def _texts() -> dict[str, Callable[[str], str]]:

@@ -7,8 +7,10 @@ made from keys; the runs' forecasts are seasonal naive, so that both engines mak
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Collection
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.named import dialect_text
 
@@ -60,7 +62,7 @@ FROM forecasts f JOIN products p ON p.product_id = f.product_id JOIN forecast_ru
     "positions": """SELECT n.*, i.on_hand, i.on_order, i.on_hand + i.on_order AS held, 164e-2 * sqrt(CAST(n.lead + 7 AS DOUBLE)) AS safety FROM needs n
 JOIN (SELECT r.run_id, s.store_id, s.product_id, s.on_hand, s.on_order, row_number() OVER (PARTITION BY r.run_id, s.store_id, s.product_id ORDER BY s.snapshot_day DESC) AS rn
   FROM inventory_snapshots s JOIN forecast_runs r ON s.snapshot_day <= r.cutoff_day) i ON i.run_id = n.run_id AND i.store_id = n.store_id AND i.product_id = n.product_id AND i.rn = 1""",
-    "replenishment_orders": """SELECT CAST(row_number() OVER (ORDER BY run_id, store_id, product_id) AS BIGINT) AS order_id, run_id, store_id, product_id, {days_after|cutoff_day|1} AS order_day, {days_after|cutoff_day|1 + lead} AS expected_arrival, on_hand, on_order,
+    "replenishment_orders": """SELECT run_id * 1000000000000 + store_id * 1000000 + product_id AS order_id, run_id, store_id, product_id, {days_after|cutoff_day|1} AS order_day, {days_after|cutoff_day|1 + lead} AS expected_arrival, on_hand, on_order,
   ltd AS lead_time_demand, safety AS safety_stock, ltd + safety AS reorder_point, mu + safety AS order_up_to,
   CASE WHEN held < ltd + safety THEN CAST(ceil((mu + safety - held) / pack) AS BIGINT) * pack ELSE CAST(0 AS BIGINT) END AS order_qty,
   CASE WHEN held < ltd + safety THEN CAST(ceil((mu + safety - held) / pack) AS BIGINT) * pack ELSE CAST(0 AS BIGINT) END AS requested_qty,
@@ -73,15 +75,32 @@ FROM forecasts f JOIN sales_daily s ON s.store_id = f.store_id AND s.product_id
 }
 
 
-def with_tables(sql: str, dialect: str) -> str:
-    """A query with the tables that it needs, as common table expressions before it."""
-    need, order = set(), list(TABLES)
-    words = set(re.findall(r"\w+", sql))
-    for name in reversed(order):
+#: Tables that are written once for a session and star schema, and what their files are divided by.
+BUILT: dict[str, tuple[str, ...]] = {
+    "stores": (), "products": (), "sales_daily": (), "forecast_runs": (), "series": ("run_id",), "inventory_snapshots": (), "forecasts": ("run_id",), "folds": ("run_id",), "backtest_metrics": ("run_id",), "positions": ("run_id",),
+    "replenishment_orders": ("run_id",), "forecast_evaluations": ("run_id",),
+}
+_roots: dict[tuple[str, str], str] = {}
+
+
+def needed(sql: str) -> set[str]:
+    """The tables that a query needs, with those that they need."""
+    need, words = set(), set(re.findall(r"\w+", sql))
+    for name in reversed(list(TABLES)):
         if name in words:
             need.add(name)
             words |= set(re.findall(r"\w+", TABLES[name]))
-    chain = ",\n".join(f"{n} AS (\n{dialect_text(TABLES[n], dialect)})" for n in order if n in need)
+    return need
+
+
+def with_tables(sql: str, dialect: str, there: Collection[str] = ()) -> str:
+    """A query with the tables that it needs, as common table expressions before it; those in `there` are left out."""
+    need, words = set(), set(re.findall(r"\w+", sql))
+    for name in reversed(list(TABLES)):
+        if name in words and name not in there:
+            need.add(name)
+            words |= set(re.findall(r"\w+", TABLES[name]))
+    chain = ",\n".join(f"{n} AS (\n{dialect_text(TABLES[n], dialect)})" for n in TABLES if n in need)
     body = sql.strip()
     for head in ("WITH RECURSIVE ", "WITH "):
         if body.startswith(head):
@@ -93,3 +112,35 @@ def views(spark: SparkSession, sf_dir: str) -> None:
     """The base tables as temporary views."""
     for name in BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query in Spark's SQL over the retail tables of a star schema.
+
+    Of the tables that it needs, those in `BUILT` are written once for the session, in an order in which each is made from
+    those before it, so that no query expands their chain of joins again; queries read the columns and runs they ask for.
+    """
+    views(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _roots:
+        _roots[key] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/retail-{uuid.uuid4().hex}"
+    root, there = _roots[key], set()
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    need = needed(sql)
+    for name, by in BUILT.items():
+        if name not in need:
+            continue
+        target = f"{root}/{name}"
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
+            rows = spark.sql(with_tables(f"SELECT * FROM {name}", "spark", there))
+            if name == "sales_daily":  # so that a span of days is in few files
+                rows = rows.repartitionByRange("day").sortWithinPartitions("day")
+            rows.write.mode("overwrite").partitionBy(*by).parquet(target)
+        found = spark.read.parquet(target)
+        if by:  # partition values come back as the last columns, and as int
+            found = found.withColumn("run_id", found["run_id"].cast("long")).select("run_id", *(c for c in found.columns if c != "run_id"))
+        found.createOrReplaceTempView(name)
+        there.add(name)
+    return spark.sql(with_tables(sql, "spark", there))
