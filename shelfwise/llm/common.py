@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import os
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but these six characters; as a Java regex and as an RE2 regex.
@@ -20,28 +23,133 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables of this application.
+
+    That is the folder in `spark.checkpoint.dir`, or one given to `SparkContext.setCheckpointDir`. Where neither is set, a
+    session on a local master gets a temporary folder, as its executors are the driver; any other session is refused.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.gettempdir()}/shelfwise-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named}/{spark.sparkContext.applicationId}"
+        if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
+        named = context.getCheckpointDir()
+    return f"{named}/{context.applicationId}"
+
+
+#: Folders that `materialise` wrote, of each operator call that has not ended, the innermost last.
+_written: list[set[str]] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = work_dir(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _written:
+        _written[-1].add(path)
+    _filesystem(spark, folder).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by `materialise` that no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(("file:", "hdfs:", "s3", "gs:", "abfs")) and spark.sparkContext.applicationId in path:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _filesystem(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """The folders that the plan of `df` reads."""
+    out = set()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(k).toString() for k in range(roots.size())}
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by `materialise` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in _read_by(df):
+            if spark.sparkContext.applicationId in path:
+                _filesystem(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that, when it has made its result's plan, deletes the intermediate tables that the plan doesn't read.
+
+    Those that the plan reads go with the application.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _written.append(set())
+        kept: set[str] = set()
+        spark = None
+        try:
+            out = operator(*args, **kwargs)
+            spark = out.sparkSession
+            name = lambda path: path.rstrip("/").rpartition("/")[2]
+            read = {name(x) for x in _read_by(out)}
+            kept = {x for x in _written[-1] if name(x) in read}
+            return out
+        finally:
+            own = _written.pop()
+            if _written:
+                _written[-1].update(kept)
+            if spark is not None:
+                for path in own - kept:
+                    _filesystem(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    return run
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each made longer until no column of `df` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers are kept between tasks, beside one another."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives back its worker's memory when it ends."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Keep the session's Arrow batches small from here on: texts are long, and results that are read later are planned then.
+
+    Lower settings of the session stand.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    units = {"b": 0, "k": 10, "m": 20, "g": 30}
+    for name, most in names.items():
+        now = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(name).lower())
+        held = int(now[1]) << units[now[2] or "b"] if now and int(now[1]) > 0 else 0
+        if not 0 < held <= most:
+            spark.conf.set(name, str(most))
 
 
 @contextlib.contextmanager
@@ -63,6 +171,11 @@ def unit_bucket(key: Column) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % F.lit(5)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row; columns that hold maps, which have no hash, are left out."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
     """Join `left` (many rows a key) with `right` (one row a key, `weight` rows on the left).
 
