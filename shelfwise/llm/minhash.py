@@ -16,7 +16,10 @@ Probability of a common bucket: 1 - (1 - s**5)**32, which is 0.9998 for s = 0.75
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; fewer than
 five words are one shingle; rows with a null doc_id are not linked (their component is null, and they are kept); repeated
-rows share their component; an empty table gives an empty result; other columns are ignored.
+rows share their component, and `deduplicate` keeps one of them; rows that share a doc_id but not a text are judged each by
+its text; an empty table gives an empty result; other columns are ignored by `link` and kept by `deduplicate`, whatever
+their names. Buckets of any size are dealt out: the counts and the first class of a bucket are partial aggregates, hot
+buckets meet them by a broadcast of at most a hundred rows, and neighbours are looked for in parts of `BLOCK` classes.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, join_hot, materialise, small_batches
+from .common import documents, free_names, frugal, join_hot, materialise, small_batches, tidy
 from .tokens import mix, shingles, signed, words
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -42,7 +45,7 @@ _SEED = np.random.default_rng(20240229)
 _MULTIPLY = (_SEED.integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1))
 _FLIP = _SEED.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _PER_WORD = 64 // BITS
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature array<long>"
+SIGNATURE = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, signature array<long>"
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -93,18 +96,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         count, keys, least = np.zeros(n, dtype=np.int64), [b""] * n, np.zeros((n, _HASHES), dtype=np.uint32)
-        for row, own in _sets(batch, 1):
+        for row, own in _sets(batch, 2):
             count[row] = len(own)
             if len(own):
                 keys[row] = _key(own)
                 least[row] = minima(own)
         bands = mix((mix(least.reshape(n, BANDS, ROWS).astype(np.uint64) + turn) * turn).sum(axis=2, dtype=np.uint64) + salt)
         lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m.shape[1]), pa.array(signed(np.ascontiguousarray(m).reshape(-1))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(keys, pa.binary()), lists(bands), lists(pack(least))], names=["doc_id", "n_shingles", "set_key", "bands", "signature"])
+        columns = [batch.column(0), batch.column(1), pa.array(count), pa.array(keys, pa.binary()), lists(bands), lists(pack(least))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "signature"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(frugal(_sign), SIGNATURE)
 
 
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -124,9 +128,9 @@ def _confirm(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """key, cls, first (the least class of the bucket) and n (its classes) of all buckets of two classes or more."""
-    whole = Window.partitionBy("key")
     rows = classes.select(F.explode("bands").alias("key"), "cls")
-    return rows.select("key", "cls", F.min("cls").over(whole).alias("first"), F.count(F.lit(1)).over(whole).alias("n")).filter("n > 1")
+    whole = rows.groupBy("key").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return join_hot(rows, materialise(whole, "minhash-shared"), "key", "n", "inner")
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -138,24 +142,32 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their components, of those buckets that hold several components."""
     rows = buckets.join(labels, buckets["cls"] == labels["node"], "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    return rows.join(several, "key")
+    rows = materialise(rows, "minhash-placed")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    several = materialise(several.filter("low != high").select("key", "members"), "minhash-several")
+    return join_hot(rows, several, "key", "members", "inner").drop("members")
+
+
+def _part(n: Column) -> tuple[Column, Column]:
+    """The number of parts of a bucket of n classes, and the part of a class."""
+    parts = F.ceil(n / BLOCK).cast("int")
+    return parts, F.pmod(F.xxhash64("cls"), parts).cast("int")
 
 
 def near_pairs(buckets: DataFrame) -> DataFrame:
-    """a < b of different components: each member of a bucket with the first of it and with the `NEAR` before it."""
-    order = Window.partitionBy("key").orderBy("cls")
+    """a < b of different components: each member of a part of a bucket with the first of it and with the `NEAR` before it."""
+    order = Window.partitionBy("key", "part").orderBy("cls")
     who = F.struct("cls", "component")
     others = F.array(F.first(who).over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag(who, k).over(order) for k in range(1, NEAR + 1)))
-    listed = buckets.select("cls", "component", others.alias("others"))
+    listed = buckets.withColumn("part", _part(F.col("n"))[1]).select("cls", "component", others.alias("others"))
     fit = F.filter("others", lambda x: x.isNotNull() & (x["cls"] < F.col("cls")) & (x["component"] != F.col("component")))
     return listed.select(F.explode(F.array_distinct(F.transform(fit, lambda x: x["cls"]))).alias("a"), F.col("cls").alias("b")).dropDuplicates(["a", "b"])
 
 
 def _blocks(buckets: DataFrame) -> DataFrame:
     """Pairs of blocks of buckets: rows key, cls, n, component, small, each for all the pairs that its block is in."""
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = buckets.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("cls"), n_blocks).cast("int"))
+    parts, part = _part(F.col("n"))
+    dealt = buckets.withColumn("blocks", parts).withColumn("block", part)
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "component", "small")
 
@@ -198,7 +210,7 @@ class Linker:
         """cls, own and small of the named classes: full sets, made again from the texts of the classes' first documents."""
         keys = names.join(self.classes.select("cls", F.col("set_key").alias("want")), "cls")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(keys, "cls")
-        return materialise(texts.select("cls", "text", "want").mapInArrow(_full, "cls long, own binary, small binary").dropDuplicates(["cls"]), "minhash-sets")
+        return materialise(texts.select("cls", "text", "want").mapInArrow(frugal(_full), "cls long, own binary, small binary").dropDuplicates(["cls"]), "minhash-sets")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs that are similar on their full sets."""
@@ -244,13 +256,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+@tidy
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     with small_batches(docs.sparkSession):
-        return _link(docs)
+        return _link(docs).drop("text_key")
 
 
 def _link(docs: DataFrame) -> DataFrame:
+    """What `link` returns, and a hash of each document's text."""
     signed_rows = materialise(signatures(docs), "minhash-signatures")
     some = signed_rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("m"), F.count(F.lit(1)).alias("n_rows"))
@@ -273,18 +287,22 @@ def _link(docs: DataFrame) -> DataFrame:
         edges = edges.unionByName(materialise(linker.confirmed(rest, sets), "minhash-edges"))
         labels = components(edges)
     final = classes.join(labels, classes["cls"] == labels["node"], "left").select("set_key", "n_rows", F.coalesce("component", "cls").alias("component_id"))
-    linked = join_hot(some.select("doc_id", "n_shingles", "set_key"), final, "set_key", "n_rows", "inner").select("doc_id", "n_shingles", "component_id")
-    alone = signed_rows.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = join_hot(some.select("doc_id", "text_key", "n_shingles", "set_key"), final, "set_key", "n_rows", "inner").select("doc_id", "text_key", "n_shingles", "component_id")
+    alone = signed_rows.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     every = linked.unionByName(alone)
-    return every.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return every.select("doc_id", "text_key", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+@tidy
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, one of each component: that of the least doc_id, and one row of it."""
-    keep = link(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    once = named.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
-    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    key, text_key, keep_key = free_names(docs, "id", "text_key", "keep_key")
+    with small_batches(docs.sparkSession):
+        linked = _link(docs).filter(F.col("kept") & F.col("doc_id").isNotNull())
+        keep = materialise(linked.select(F.col("doc_id").alias(key), F.col("text_key").alias(keep_key)).distinct(), "minhash-kept")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(text_key, F.xxhash64("text"))
+    chosen = named.join(keep, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(text_key) == F.col(keep_key)), "left_semi")
+    return chosen.dropDuplicates(["doc_id", text_key]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SHINGLE = 5
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     size = max(CHUNK, 1 << (n - 1).bit_length()) if n else CHUNK
     if size not in _powers:
@@ -93,7 +93,7 @@ def _hash(raw: np.ndarray, offset: np.ndarray, first: int) -> Words:
     end = inside.copy()
     end[:-1] &= ~inside[1:] | cut[1:size]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _power(size)
+    power, inverse = powers(size)
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
     bound = np.searchsorted(starts, offset)
