@@ -1,4 +1,4 @@
-import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shelfwise.llm import decontaminate, licenses, quality, secrets
@@ -119,16 +119,25 @@ def test_licenses(spark):
     assert found[21] == ("MIT", 0, "") and found[22] == (None, 1, "CC-BY-NC-4.0") and found[23][0] is None and found[5] == (None, 0, "")
 
 
-@pytest.mark.parametrize("block", [3, 1_000_000])
-def test_tiling(spark, block):
+def test_tiling(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
     swapped = " ".join(item[6:] + ["between"] + item[:6])
-    rows = [(1, "Start, " + " ".join(item).upper() + "! end", "a"), (2, swapped, "a"), (3, " ".join(item[:5]), "a"), (4, "nothing of it", "a"), (5, None, "a"), (6, "Short one", "a")]
-    items = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, ""), (13, "short one")], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]): (r["covered_tokens"], r["tiles"]) for r in decontaminate.matches(docs(spark, rows), items, block_tokens=block).collect()}
+    rows = [(1, "Start, " + " ".join(item).upper() + "! end", "a"), (2, swapped, "a"), (3, " ".join(item[:5]), "a"), (4, "nothing of it", "a"), (5, None, "a"), (6, "Short one", "a"), (7, "not a short one", "a")]
+    items = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, ""), (13, "short one"), (14, "nothing")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["covered_tokens"], r["tiles"]) for r in decontaminate.matches(docs(spark, rows), items).collect()}
     assert found == {(1, 10): (12, "1:0:12"), (2, 10): (12, "0:6:6,7:0:6"), (3, 10): (5, "0:0:5"), (6, 13): (2, "0:0:2")}
     left = {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), items).collect()}
-    assert left == {3, 4, 5}
+    assert left == {3, 4, 5, 7}
+    assert decontaminate.contaminated(docs(spark, rows), items).select("doc_id").distinct().count() == 3
+
+
+def test_clean_beyond_the_broadcast_bound(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(i, item if i % 3 == 0 else f"other text {i}", "a") for i in range(30)] + [(None, item, "a"), (None, None, "a")]
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+    table = docs(spark, rows).withColumnRenamed("n_chars", "row").withColumnRenamed("lang", "hit_key")
+    left = decontaminate.clean(table, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == table.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted([str(i) for i in range(30) if i % 3] + ["None"])
 
 
 def brute_tiles(doc, item, width):
@@ -153,13 +162,12 @@ def brute_tiles(doc, item, width):
 def test_tiling_against_definition():
     import random
 
-    import numpy as np
-
     pick = random.Random(3)
     for _ in range(200):
         item = [pick.choice("abc") for _ in range(pick.randint(5, 25))]
         doc = [pick.choice("abcx") for _ in range(pick.randint(0, 40))]
-        seeds = decontaminate.Seeds([(1, item)], 5)
-        ids = np.array([seeds.vocabulary.get(w, 0) for w in doc], dtype=np.uint64)
-        got = seeds.coverage(ids)
-        assert (got[0][1] if got else 0) == brute_tiles(doc, item, 5)
+        hashed = [next(decontaminate.tokens(pa.array([" ".join(x)]))) for x in (doc, item)]
+        (_, p, left), (_, j, right) = (decontaminate.windows(w, 5) for w in hashed)
+        pairs = [(a, b) for a, x in zip(p, left) for b, y in zip(j, right) if x == y]
+        assert sorted(pairs) == [(a, b) for a in range(len(doc) - 4) for b in range(len(item) - 4) if doc[a : a + 5] == item[b : b + 5]] or len(doc) < 5
+        assert (decontaminate.tile(pairs, 5)[0] if pairs else 0) == brute_tiles(doc, item, 5)
