@@ -3,12 +3,14 @@
 Documents with equal texts form a group that stays together. A partial partition is a list of k subset sizes; differencing
 takes the two partial partitions with the largest spread and adds the largest subset of one to the smallest of the other,
 and so on, until one partition is left. Groups are dealt by hash into parts of about `PART_GROUPS`; every part is
-differenced in a task of its own, and the k sums that each part ends with are partial partitions again, which the driver
-differences in the same way (k numbers for each part). Parts are cut by the hash of a group, so no part grows with a
-single hot text, and a hot group is one item whatever its number of rows.
-
-Defined results: null text has no bytes and is a group of its own row, empty texts are one group; repeated rows are rows
-of the same group, each with its own slot; an empty table gives an empty result; other columns are ignored.
+differenced in a task of its own. The k sums that a part ends with are a partial partition again: these are differenced in
+the same way, about `FAN` of them a task, level by level, until one is left. So no task and no driver holds more than a
+level's share, and where a group goes is found by joining the levels' tables downwards. Parts are cut by the hash of a
+group, so no part grows with a single hot text, and a hot group is one item whatever its number of rows.
+
+Defined results: null text has no bytes and each of its rows is a group of its own, empty texts are one group; repeated rows
+are rows of the same group, each with its own slot; ties are broken by the group's hash, so reruns agree for rows with a
+text; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, join_hot, materialise
+from .common import documents, join_hot, materialise, tidy
 
 SHARDS = 24
 PART_GROUPS = 20_000
+FAN = 1_000
 SLOT_ROWS = 20_000
 OVERHEAD = 8
 
@@ -78,14 +81,44 @@ def _part(k: int):
     return run
 
 
+def _level(k: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, node = np.unique(rows["part"].to_numpy(), return_inverse=True)
+        sizes = np.zeros((len(names), k))
+        sizes[node, rows["local"]] = rows["bytes"]
+        _, place = difference(sizes)
+        return pd.DataFrame({"parent": rows["parent"], "part": rows["part"], "local": rows["local"], "bytes": rows["bytes"], "place": place[node, rows["local"]].astype(np.int32)})
+
+    return run
+
+
+def joined_parts(local: DataFrame, parts: int, shards: int, fan: int | None = None) -> DataFrame:
+    """part, local, shard: the shard of each subset of each part, by differencing the parts' sums level by level."""
+    fan = fan or FAN
+    levels = []
+    sums = local.groupBy("part", "local").agg(F.sum("bytes").alias("bytes"))
+    while True:
+        parents = max(1, -(-parts // fan))
+        dealt = sums.withColumn("parent", F.pmod(F.xxhash64("part", F.lit(len(levels))), F.lit(parents)).cast("int"))
+        levels.append(materialise(dealt.groupBy("parent").applyInPandas(_level(shards), "parent int, part int, local int, bytes long, place int"), "shard-level"))
+        if parents == 1:
+            break
+        sums, parts = levels[-1].groupBy(F.col("parent").alias("part"), F.col("place").alias("local")).agg(F.sum("bytes").alias("bytes")), parents
+    out = levels[-1].select("part", "local", F.col("place").alias("shard"))
+    for level in reversed(levels[:-1]):
+        above = out.select(F.col("part").alias("parent"), F.col("local").alias("place"), "shard")
+        out = materialise(level.join(above, ["parent", "place"]).select("part", "local", "shard"), "shard-places")
+    return out
+
+
+@tidy
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document.
 
     Slots count a shard's rows without a gap: first by slice of the documents' hash, then inside a slice.
     """
-    spark = docs.sparkSession
     text = F.col("text")
-    lone = F.concat(F.lit("null:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    lone = F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string"))
     rows = materialise(
         docs.select(
             "doc_id",
@@ -101,16 +134,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     parts = max(1, -(-n_groups // PART_GROUPS))
     parted = groups.withColumn("part", F.pmod(F.xxhash64("group"), F.lit(parts)).cast("int"))
     local = materialise(parted.groupBy("part").applyInPandas(_part(shards), "part int, group string, bytes long, rows long, local int"), "shard-local")
-    sums = local.groupBy("part", "local").agg(F.sum("bytes").alias("bytes")).collect()  # parts * shards numbers
-    names = sorted({r["part"] for r in sums})
-    sizes = np.zeros((len(names), shards))
-    where = {p: i for i, p in enumerate(names)}
-    for r in sums:
-        sizes[where[r["part"]], r["local"]] = r["bytes"]
-    _, place = difference(sizes)
-    joints = [(p, j, int(place[where[p], j])) for p in names for j in range(shards)]
-    to_shard = spark.createDataFrame(joints, "part int, local int, shard int")
-    placed = local.join(to_shard, ["part", "local"]).select("group", "rows", "shard")
+    placed = local.join(joined_parts(local, parts, shards), ["part", "local"]).select("group", "rows", "shard")
+    placed = materialise(placed, "shard-placed")
     dealt = join_hot(rows, placed, "group", "rows", "inner")
     slices = max(16, -(-n_rows // (SLOT_ROWS * shards)))
     dealt = materialise(dealt.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice")), "shard-dealt")

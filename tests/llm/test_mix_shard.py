@@ -1,5 +1,7 @@
+import heapq
 import itertools
 import random
+import re
 import zlib
 
 import duckdb
@@ -141,6 +143,48 @@ def test_shards(spark, sf):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def plain_differencing(sizes, k):
+    """The subset sums of differencing, with lists of numbers only."""
+    heap = [(-s, i, (s, *[0] * (k - 1))) for i, s in enumerate(sizes)]
+    heapq.heapify(heap)
+    count = itertools.count(len(heap))
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both = tuple(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+        heapq.heappush(heap, (both[-1] - both[0], next(count), both))
+    return sorted(heap[0][2])
+
+
+def test_shard_sizes_are_those_of_plain_differencing(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect() + [(9100 + i, "hot text", "a") for i in range(100)] + [(None, None, None)] * 3
+    got = {}
+    for r in sharding.shard_documents(docs(spark, [tuple(r) for r in rows])).collect():
+        got[r["shard"]] = got.get(r["shard"], 0) + r["size"]
+    groups = {}
+    for i, (_, t, _) in enumerate(rows):
+        key = (i,) if t is None else t
+        groups[key] = groups.get(key, 0) + len((t or "").encode()) + 8
+    order = sorted(groups.values(), reverse=True)
+    want = plain_differencing(order, 24)
+    # ties may be broken in another order: sums agree, spreads nearly
+    assert sum(got.values()) == sum(want) and max(got.values()) - min(got.values()) <= max(want) - min(want) + 64
+
+
+def test_parts_are_joined_level_by_level(spark):
+    pick = np.random.default_rng(8)
+    parts, shards = 30, 6
+    rows = [(p, k, int(pick.integers(1, 10**6))) for p in range(parts) for k in range(shards) if pick.random() < 0.9]
+    local = spark.createDataFrame(rows, "part int, local int, bytes long")
+    for fan in (4, 1000):
+        found = {(r["part"], r["local"]): r["shard"] for r in sharding.joined_parts(local, parts, shards, fan).collect()}
+        assert set(found) == {r[:2] for r in rows}
+        for p in range(parts):  # subsets of a part stay apart
+            own = [found[x] for x in found if x[0] == p]
+            assert len(set(own)) == len(own) and set(own) <= set(range(shards))
+        sums = np.bincount([found[r[:2]] for r in rows], [r[2] for r in rows], shards)
+        assert sums.max() - sums.min() < 0.02 * sums.mean()
+
+
 PAGES = "page_id long, url string, html string, host string"
 
 
@@ -180,6 +224,84 @@ def test_ranks_against_dense_iteration(spark):
         assert [got.get(f"h{i}", (0, 0))[column] for i in range(8)] == pytest.approx(list(rank))
 
 
+def plain_verdicts(rows):
+    """What urls.judge returns, by dense iteration over hosts: page_id -> verdict."""
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+    def split(url):
+        rest = (url or "").partition("://")[2]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        return brute.lower(rest[:cut]), rest[cut:].split("?")[0].split("#")[0]
+
+    def rule(host, path):
+        fits = [(len(h + p), k) for k, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    hosts = sorted({split(u)[0] for _, u, _ in rows} | {split(u)[0] for _, _, h in rows for u in re.findall('"([a-z]+://[^"]*)"', h or "")})
+    at = {h: i for i, h in enumerate(hosts)}
+    links, pages = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+    seeds = {"allow": np.zeros(len(hosts)), "block": np.zeros(len(hosts))}
+    for _, u, html in rows:
+        host, path = split(u)
+        pages[at[host]] += 1
+        if rule(host, path):
+            seeds[rule(host, path)][at[host]] += 1
+        for target in {split(x)[0] for x in re.findall('"([a-z]+://[^"]*)"', html or "")}:
+            if host and target != host:
+                links[at[host], at[target]] += 1
+    rank = {}
+    for kind, m in (("allow", links), ("block", links.T)):
+        m = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
+        start = seeds[kind] / max(1, seeds[kind].sum())
+        rank[kind] = start if links.any() else start * (1 - urls.DAMPING)
+        for _ in range(urls.ROUNDS if links.any() else 0):
+            rank[kind] = urls.DAMPING * rank[kind] @ m + (1 - urls.DAMPING) * start
+    bad = (rank["block"] > rank["allow"]) & (rank["block"] >= urls.DISTRUST * (1 - urls.DAMPING) * pages / pages.sum() - 1e-12)
+    return {i: rule(*split(u)) or ("block" if split(u)[0] and bad[at[split(u)[0]]] else "allow") for i, u, _ in rows}
+
+
+def test_verdicts_against_dense_iteration(spark, sf):
+    pick = random.Random(4)
+    link = lambda h: f'<a href="http://{h}/x">'
+    names = ["bad.net", "a.example.net", "b.example.com", "c.org", "hub.test", *(f"h{i}.test" for i in range(40))]
+    rows = []
+    for i in range(300):
+        host = pick.choice(names)
+        to = [pick.choice(names) for _ in range(pick.randint(0, 3))] + (["hub.test"] if pick.random() < 0.5 else [])
+        rows.append((i, f"http://{host}/{pick.choice(['en', 'de', 'fr'])}/{i}", "".join(map(link, to))))
+    rows += [(900, None, None), (901, "no host", link("bad.net")), (902, "http://lonely.test/", "")]
+    for table in (rows, [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]):
+        want = plain_verdicts(table)
+        got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame([(*r, "x") for r in table], PAGES)).collect()}
+        assert {i: r["verdict"] for i, r in got.items()} == want
+        assert len({r["verdict"] for r in got.values() if r["rule"] is None}) == 2
+
+
+def test_the_first_of_equally_long_rules_wins(spark):
+    from pyspark.sql import functions as F
+
+    rules = (("block", "a.test/xy/"), ("allow", "test/xy/zw"), ("allow", "test/"))
+    rows = spark.createDataFrame([("a.test", "/xy/zw"), ("b.test", "/xy/zw"), ("b.test", "/")], "host string, path string")
+    for order, first in ((rules, "a.test/xy/"), ((rules[1], rules[0], rules[2]), "test/xy/zw")):
+        assert [r[0] for r in rows.select(urls.rule_of(F.col("host"), F.col("path"), order)).collect()] == [first, "test/xy/zw", "test/"]
+
+
+def test_ranks_of_hubs(spark):
+    n = 400  # every host links to the hub and the hub to all: the hub's rows are hot in either direction
+    links = [(f"h{i}", "hub", 1) for i in range(n)] + [("hub", f"h{i}", 1) for i in range(n)] + [(f"h{i}", f"h{(i + 1) % n}", 1) for i in range(n)]
+    seeds = [("allow", "h0", 1), ("block", "h7", 1)]
+    got = {r["host"]: r for r in urls.ranks(spark.createDataFrame(links, "source string, target string, n long"), spark.createDataFrame(seeds, "kind string, host string, weight long")).collect()}
+    m = np.zeros((n + 1, n + 1))
+    for a, b, _ in links:
+        m[tuple(n if x == "hub" else int(x[1:]) for x in (a, b))] += 1
+    for kind, of, column in ((m, 0, "trust"), (m.T, 7, "distrust")):
+        p, start = kind / kind.sum(1, keepdims=True), np.eye(n + 1)[of]
+        rank = start
+        for _ in range(urls.ROUNDS):
+            rank = urls.DAMPING * rank @ p + (1 - urls.DAMPING) * start
+        assert [got[f"h{i}"][column] for i in range(n)] + [got["hub"][column]] == pytest.approx(list(rank))
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     before = spark.read.parquet(f"{sf}/documents.parquet")
