@@ -1,7 +1,8 @@
 """Quality rules: repetition inside a document, and lines that recur across the documents of a host.
 
 A line is normalised (lower case, digits as one class, white space as single blanks) and hashed. For each host (here: the
-source) the distinct documents that hold a line are counted; copies of a text are one document. A line held by more than
+source) the distinct documents that hold a line are counted; documents are distinct if their texts are, so a text that was
+copied is no template. A line held by more than
 `LINE_DOCS` of them is above the limit and is removed, whatever the host's size. A document is depleted, and rejected, if
 less than `LEAST_LEFT` of its words are left.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import GAP, documents, materialise
+from .common import GAP, documents, join_hot, materialise, tidy
 
 LINE_DOCS = 6
 LEAST_LEFT = 0.3
@@ -80,11 +81,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(stats: DataFrame, least: int = LINE_DOCS) -> DataFrame:
-    """host, line and count of the lines above the limit."""
-    texts = stats.groupBy("host", "text_key").agg(F.first(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("lines"))
-    texts = materialise(texts, "quality-texts")
-    return texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+def frequent_lines(texts: DataFrame, least: int = LINE_DOCS) -> DataFrame:
+    """host, line and count of the lines above the limit; texts: one row for each distinct text of a host, with its lines."""
+    own = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    return own.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
 
 
 def held(own: DataFrame, lines: DataFrame, most: int = BROADCAST_LINES) -> DataFrame:
@@ -98,22 +98,21 @@ def held(own: DataFrame, lines: DataFrame, most: int = BROADCAST_LINES) -> DataF
     return own.alias("o").join(F.broadcast(common).alias("t"), same).select("o.*").unionByName(own.alias("o").join(rare.alias("t"), same).select("o.*"))
 
 
+@tidy
 def judge(docs: DataFrame, least: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The base counts of each document, the words that line removal leaves, and the verdict."""
-    stats = materialise(statistics(docs), "quality-stats")
-    lines = materialise(frequent_lines(stats, least), "quality-lines")
-    own = stats.select("doc_id", "host", "text_key", F.posexplode("lines").alias("at", "x")).select("doc_id", "host", "text_key", "at", F.col("x.line").alias("line"), F.col("x.n").alias("words"))
-    hit = held(own, lines)
-    # equal rows of the input are one key here: a line of theirs counts once
-    gone = hit.groupBy("doc_id", "host", "text_key").agg(F.collect_set(F.struct("at", "words")).alias("gone"))
-    gone = gone.select("doc_id", "host", "text_key", F.aggregate("gone", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("removed"))
-    narrow = stats.drop("lines")
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("doc_id", "host", "text_key")]
-    both = narrow.alias("s").join(gone.alias("g"), same[0] & same[1] & same[2], "left")
+    stats = materialise(statistics(docs).withColumn("text_id", F.xxhash64("host", "text_key")), "quality-stats")
+    # what goes from a text is found once for all its copies in a host
+    texts = stats.groupBy("text_id", "host").agg(F.first("lines").alias("lines"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts, "quality-texts")
+    lines = materialise(frequent_lines(texts, least), "quality-lines")
+    own = texts.select("text_id", "host", "copies", F.explode("lines").alias("x")).select("text_id", "host", "copies", F.col("x.line").alias("line"), F.col("x.n").alias("words"))
+    gone = held(own, lines).groupBy("text_id").agg(F.sum("words").cast("long").alias("removed"), F.max("copies").alias("copies"))
+    both = join_hot(stats.drop("lines"), materialise(gone, "quality-gone"), "text_id", "copies")
     left = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return both.select(
-        "s.doc_id", "s.host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("words_left"), (~failed & (left >= least_left * F.col("n_words"))).alias("kept")
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("words_left"), (~failed & (left >= least_left * F.col("n_words"))).alias("kept")
     )
 
 
