@@ -77,7 +77,7 @@ WITH incoming AS (SELECT store_id, product_id, snapshot_day, on_hand + 1 AS on_h
 kept AS (SELECT o.* FROM inventory_snapshots o LEFT JOIN incoming i ON i.store_id = o.store_id AND i.product_id = o.product_id AND i.snapshot_day = o.snapshot_day WHERE i.store_id IS NULL)
 SELECT store_id, product_id, snapshot_day, on_hand, on_order FROM kept UNION ALL SELECT store_id, product_id, snapshot_day, on_hand, on_order FROM incoming""",
     "ingest_dedup_first_wins": """
-WITH file AS (SELECT * FROM (VALUES (2, 1, 'BLR'), (3, 2, 'HYD'), (4, 2, 'DUP'), (5, 3, 'CHN'), (6, 1, 'AGAIN')) AS v(row_no, store_id, store_code)),
+WITH file AS (SELECT * FROM (VALUES (2, 1, 'OSL'), (3, 2, 'BGO'), (4, 2, 'BG2'), (5, 3, 'TRD'), (6, 1, 'OS2')) AS v(row_no, store_id, store_code)),
 numbered AS (SELECT *, min(row_no) OVER (PARTITION BY store_id) AS first_row FROM file)
 SELECT row_no, store_id, store_code, first_row, CASE WHEN row_no > first_row THEN 1 ELSE 0 END AS rejected FROM numbered""",
     "integrity_check": """
@@ -199,14 +199,14 @@ def simulate_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_policy_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product names and hostile cells under the safe policy."""
-    rows = spark.sql("SELECT * FROM VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('BLR'), ('') AS v(cell)")
+    rows = spark.sql("SELECT * FROM VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('OSL'), ('') AS v(cell)")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("cell"))
     return rows.unionByName(parts).select("cell", cells.safe(F.col("cell")).alias("safe_cell"))
 
 
 CELL_SQL = r"""
 SELECT cell, CASE WHEN regexp_matches(cell, '^[\t\r\n]|^[\p{Cc}\p{Cf}\p{Z}]*[=+\-@]') THEN chr(39) || cell ELSE cell END AS safe_cell
-FROM (SELECT * FROM (VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('BLR'), ('')) v(cell) UNION ALL SELECT p_name FROM part) t"""
+FROM (SELECT * FROM (VALUES ('=1+1'), ('-2+3'), (' @x'), ('1-2'), ('a=b'), ('OSL'), ('')) v(cell) UNION ALL SELECT p_name FROM part) t"""
 
 
 #: SQL twins of queries that go through DataFrame operators; DuckDB only.

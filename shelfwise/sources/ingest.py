@@ -121,8 +121,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return tagged.withColumn("row", (F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33) + offset + 2).cast("long")).drop("__p", "__i")
 
 
-def validated(cells: DataFrame, table: str, lookups: dict[str, DataFrame]) -> DataFrame:
-    """Typed columns, row and reason (null for good rows): column rules in order, references, row rules, repeated keys."""
+def validated(cells: DataFrame, table: str, lookups: dict[str, DataFrame], stored: DataFrame | None = None) -> DataFrame:
+    """Typed columns, row and reason (null for good rows): column rules in order, references, row rules, repeated keys, and
+    values of unique columns that another key has, in the `stored` rows of the table or earlier in the file."""
     rows = cells
     problems = []
     for f in FIELDS[table]:
@@ -144,14 +145,19 @@ def validated(cells: DataFrame, table: str, lookups: dict[str, DataFrame]) -> Da
             typed = typed.withColumn(name, F.coalesce(name, own))
     key = list(KEYS[table])
     # the first good row of a key stands; good rows only compete with good rows
-    first = F.min(F.when(F.col("reason").isNull(), F.col("row"))).over(Window.partitionBy(*key))
+    alone = F.when(F.col("reason").isNotNull(), F.col("row"))  # bad rows, whose keys may all be null, are dealt one by one
+    first = F.min(F.when(F.col("reason").isNull(), F.col("row"))).over(Window.partitionBy(*key, alone))
     shown = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in key))
     typed = typed.withColumn("__first", first)
     typed = _also(typed, F.when(F.col("row") > F.col("__first"), F.concat(F.lit("duplicate key ("), shown, F.lit(") first seen at row "), F.col("__first").cast("string")))).drop("__first")
     if table in UNIQUE:
         name = UNIQUE[table]
-        typed = typed.withColumn("__first", F.min(F.when(F.col("reason").isNull(), F.col("row"))).over(Window.partitionBy(name)))
-        typed = _also(typed, F.when(F.col("row") > F.col("__first"), F.concat(F.lit(f"{name} '"), F.col(name), F.lit("' duplicates row "), F.col("__first").cast("string")))).drop("__first")
+        if stored is not None:
+            used = stored.select(F.col(name).alias("__name"), F.col(key[0]).alias("__by"))
+            typed = typed.join(used, (F.col(name) == F.col("__name")) & (F.col(key[0]) != F.col("__by")), "left")
+            typed = _also(typed, F.when(F.col("__by").isNotNull(), F.concat(F.lit(f"{name} '"), F.col(name), F.lit(f"' is already used by {key[0]} "), F.col("__by").cast("string")))).drop("__name", "__by")
+        typed = typed.withColumn("__first", F.min(F.when(F.col("reason").isNull(), F.col("row"))).over(Window.partitionBy(name, alone)))
+        typed = _also(typed, F.when(F.col("row") > F.col("__first"), F.concat(F.lit(f"duplicate {name} '"), F.col(name), F.lit("' first seen at row "), F.col("__first").cast("string")))).drop("__first")
     return typed
 
 
@@ -181,7 +187,7 @@ def load_csv(store: TableStore, table: str, path: str, mode: str = "insert", dry
         raise ValueError(f"'{table}' is not loadable; choose one of {', '.join(FIELDS)}")
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)} (got '{mode}')")
-    rows = validated(read_cells(store.spark, path, table), table, {"stores": store.read("stores"), "products": store.read("products")})
+    rows = validated(read_cells(store.spark, path, table), table, {"stores": store.read("stores"), "products": store.read("products")}, store.read(table))
     key = list(KEYS[table])
     known = store.read(table).select(*key).withColumn("__known", F.lit(True))
     rows = rows.join(known, key, "left")
